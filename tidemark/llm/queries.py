@@ -19,5 +19,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_packing": op7_packing}
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.passages import kept_words
+
+    return kept_words(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_packing": op7_packing, "op9_passages": op9_passages}
 ORACLES: dict[str, str] = {}
