@@ -20,6 +20,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, docs.where(~held_out()))
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.passages import kept_words
 
@@ -33,5 +40,5 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_simhash": op5_simhash, "op7_packing": op7_packing, "op9_passages": op9_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages}
 ORACLES: dict[str, str] = {}
