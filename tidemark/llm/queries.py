@@ -33,6 +33,12 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_words(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
@@ -40,5 +46,5 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages}
 ORACLES: dict[str, str] = {}
