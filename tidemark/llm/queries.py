@@ -33,6 +33,22 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_words(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.topk import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0 AND len(q.x) = len(c.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import score
 
@@ -64,5 +80,5 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM bits JOIN firsts USING (html)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op10_warc": OP10_SQL}
