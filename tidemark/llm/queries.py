@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licences import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,5 +86,5 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM bits JOIN firsts USING (html)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op10_warc": OP10_SQL}
