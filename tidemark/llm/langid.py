@@ -15,7 +15,7 @@ from tidemark.llm.ngrams import counted, grams, letters, summed
 #: Byte n-grams of these lengths, hashed to 2^BITS features.
 SIZES, BITS = range(1, 6), 16
 #: At most so many documents are expected in the sample that the weights are fitted on, a quarter of them for the temperature.
-SAMPLE = 6000
+SAMPLE = 3000
 #: Follow-the-regularised-leader: learning rate, smoothing, and the weights of the elastic net; SCALE multiplies the features.
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 1e-4, 2, 20.0
 UNKNOWN = "und"
@@ -129,8 +129,8 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     bias_at = 1 << BITS
     xs = []
     for r in rows:
-        at, n = np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.n, "<u4")
-        xs.append((np.append(at, bias_at), np.append(n / n.sum() * idf[at] * SCALE, 1.0)))
+        at, n = np.frombuffer(r.at, "<u2").astype(np.int32), np.frombuffer(r.n, "<u4")
+        xs.append((np.append(at, np.int32(bias_at)), np.append(n / n.sum() * idf[at] * SCALE, 1.0).astype(np.float32)))
     y = np.array([langs.index(r.lang) for r in rows])
     cut = len(rows) - len(rows) // 4
     w = ftrl(xs[:cut], y[:cut], len(langs), bias_at + 1)
