@@ -55,6 +55,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import STATS, judged
+
+    return judged(_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc.doc_id", *STATS, "base_failed", "kept", "distance")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import score
 
@@ -86,5 +92,5 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM bits JOIN firsts USING (html)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op10_warc": OP10_SQL}
