@@ -39,6 +39,12 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_words(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.topk import search
 
@@ -92,5 +98,5 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM bits JOIN firsts USING (html)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_topk": op2_topk, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op10_warc": OP10_SQL}
