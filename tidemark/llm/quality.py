@@ -160,7 +160,7 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     least one, so nothing divides by zero. Null doc_id and repeated rows: judged like any other. No rows: no rows. What is
     carried is written once beside the statistics, so that texts aren't shuffled and are split into words once.
     """
-    stats = statistics(docs.select(F.struct(*carry).alias("doc"), "text", "lang", "source"))
+    stats = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), "text", "lang", "source"))
     table = written(stats.withColumn("base_failed", base_failed()).withColumns({x: F.expr(e) for x, e, _ in VECTOR}))
     fair = table.where(~F.col("base_failed"))
     grouped = fair.select(F.explode(F.array(*[_group(k) for k in range(3)])).alias("group"), *_X)
