@@ -47,7 +47,7 @@ def name_violation(c: Column) -> Column:
 
 
 def parse_items(c: Column) -> Column:
-    return distinct_filled(F.transform(F.split(c, ","), normalize_item))
+    return distinct_filled(F.transform(F.split(c, ","), lambda x: normalize_item(x)))
 
 
 def parse_labels(c: Column, levels: tuple[str, ...] = ("disease", "pattern", "goal")) -> Column:
@@ -110,7 +110,7 @@ def parse_headed(c: Column) -> tuple[Column, Column]:
     parts = F.transform(kept, lambda x: F.filter(F.transform(F.split(x, LABEL_SEPARATOR), strip), lambda p: p != ""))
     some = F.filter(parts, lambda p: F.size(p).isin(2, 3))
     labels = F.array_distinct(F.transform(some, lambda p: F.struct(p[0].alias("disease"), p[1].alias("pattern"), F.coalesce(F.get(p, F.lit(2)), F.lit("")).alias("goal"))))
-    items = distinct_filled(F.transform(F.split(second, ITEM_SEPARATOR), normalize_item))
+    items = distinct_filled(F.transform(F.split(second, ITEM_SEPARATOR), lambda x: normalize_item(x)))
     return labels, items
 
 

@@ -1,6 +1,6 @@
 """All named queries."""
 
-from tidemark.plans import history  # noqa: F401
+from tidemark.plans import history, parsing  # noqa: F401
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
