@@ -37,7 +37,7 @@ def field(labels: str, name: str) -> str:
 
 
 def ratio(a: str, b: str) -> str:
-    return f"coalesce({a} / nullif(({b})::DOUBLE, 0), 0.0)"
+    return f"coalesce(({a}) / nullif(({b})::DOUBLE, 0), 0.0)"
 
 
 #: CTEs of the visits and what is built on them; those that a query doesn't name aren't run.
