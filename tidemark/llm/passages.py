@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from tidemark.llm.common import written
 from tidemark.llm.words import WORD_MULT_2, window_hashes, word_hashes
@@ -207,11 +208,12 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_windows: int = BUCKET_WINDOWS, carry: list[str] | None = None) -> DataFrame:
     """For each row of `docs` (doc_id, text) the text without repeated passages; a row number says which row is meant.
 
     Returns row (of `numbered`), doc_id, n_words, n_removed, kept (the words that stay, joined by a space; null where nothing
-    is removed) and kept_sha256 (of those words, always). A word goes if it lies in a window of `window` words whose sequence also starts earlier: in a
+    is removed) and kept_sha256 (of those words, always). With `carry`, columns of docs, these come along as a struct doc, and
+    kept is the whole text, as it was where nothing is removed: the texts needn't meet the result in another shuffle. A word goes if it lies in a window of `window` words whose sequence also starts earlier: in a
     smaller doc_id (null before all), or earlier in the same document.
 
     Windows of `start` words that repeat alone are extended to twice that length, until that is `window` or none is left;
@@ -233,14 +235,16 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_window
     masks: DataFrame | None = None
     done: list[int] = []
 
-    def climbing(reply, schema: str):
+    def climbing(reply, schema: str, source: DataFrame = slim):
         """Runs reply(name, block, repeated windows of the last level) over the map groups, with the bits of the levels done."""
         so_far, arrow = list(done), _arrow(schema)
+        carries = "doc" in source.columns
 
         def whole(name: int, text: pa.Table, bits: pa.Table | None) -> pa.Table:
             block = Block(text)
             found = _masks(bits, block.digest) if bits is not None else {}
-            return _batch(list(reply(name, block, _climb(block, so_far, found, n) if so_far else None, found)), arrow)
+            out = _batch(list(reply(name, block, _climb(block, so_far, found, n) if so_far else None, found)), arrow)
+            return out.append_column("doc", text.column("doc").take(pa.array(block.order, pa.int64()))) if carries else out
 
         if masks is None:
 
@@ -251,10 +255,11 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_window
             return slim.mapInArrow(stream, schema)
 
         def grouped(key: tuple, text: pa.Table, bits: pa.Table) -> pa.Table:
-            return whole(key[0].as_py(), text, bits) if text.num_rows else _batch([], arrow)
+            return whole(key[0].as_py(), text, bits)
 
-        left = slim.withColumn("block", F.shiftright("row", BLOCK_BITS))
-        return left.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(grouped, schema)
+        left = source.withColumn("block", F.shiftright("row", BLOCK_BITS))
+        out = _parse_datatype_string(schema).add("doc", source.schema["doc"].dataType) if carries else schema
+        return left.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(grouped, out)
 
     for level in levels:
         full = level == window
@@ -276,12 +281,13 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_window
             kept = b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g] if lost else words)
             yield {
                 "row": int(block.rows[i]), "doc_id": block.keys[i], "n_words": len(own), "n_removed": lost,
-                "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if lost else None,
+                "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if lost else text.decode() if carry and text is not None else None,
             }
 
-    return climbing(finish, KEPT)
+    return climbing(finish, KEPT, numbered(docs, carry) if carry else slim)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id and text of docs. row numbers the rows as they are read; the table must give the same rows each time, as files do."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def numbered(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """row, doc_id, text, and a struct doc of other columns. row numbers the rows as they are read; the table must give the same rows each time, as files do."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
