@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sets import r6
-from tidemark.operators.broadcasts import small
+from tidemark.operators.broadcasts import held, small
 from tidemark.operators.splits import folds
 
 
@@ -30,7 +30,7 @@ def naive_bayes_auc(rows: DataFrame, features: DataFrame, n_folds: int = 5, min_
     ln(n1/n0), plus a constant as if all features were absent, plus each present feature's difference; so the work is one
     row for a present feature and item. Counts of the other folds are those of all folds less the own one.
     """
-    base = folds(rows.select("rid", "items"), "rid", n_folds).select("rid", "fold", "items")
+    base = held(folds(rows.select("rid", "items"), "rid", n_folds).select("rid", "fold", "items"))
     flat = base.select("rid", "fold", F.explode("items").alias("item"))
     total = base.groupBy("fold").agg(F.count("*").alias("nf"))
     n = F.sum("nf").over(Window.partitionBy())
@@ -38,9 +38,9 @@ def naive_bayes_auc(rows: DataFrame, features: DataFrame, n_folds: int = 5, min_
     pos = flat.groupBy("item").agg(F.count("*").alias("positives")).crossJoin(F.broadcast(grid_folds.select("n_all").distinct())).where((F.col("positives") >= min_class) & (F.col("n_all") - F.col("positives") >= min_class))
     pos_fold = flat.groupBy("item", "fold").agg(F.count("*").alias("pf"))
     models = pos.select("item", "positives").crossJoin(F.broadcast(grid_folds)).join(small(pos_fold), ["item", "fold"], "left").select("item", "fold", "n_train", (F.col("positives") - F.coalesce("pf", F.lit(0))).alias("n1"))
-    models = models.withColumn("n0", F.col("n_train") - F.col("n1"))
+    models = held(models.withColumn("n0", F.col("n_train") - F.col("n1")))
 
-    seen = features.join(base.select("rid", "fold"), "rid")
+    seen = held(features.join(base.select("rid", "fold"), "rid"))
     f_fold = seen.groupBy("level", "feature", "fold").agg(F.count("*").alias("cf"))
     f_all = f_fold.groupBy("level", "feature").agg(F.sum("cf").alias("ca"))
     fi_fold = seen.select("level", "rid", "feature").join(flat, "rid").groupBy("level", "feature", "item", "fold").agg(F.count("*").alias("cf1"))
@@ -50,7 +50,7 @@ def naive_bayes_auc(rows: DataFrame, features: DataFrame, n_folds: int = 5, min_
     c0 = F.col("ca") - F.coalesce("cf", F.lit(0)) - c1
     p1, p0 = (c1 + 1) / (F.col("n1") + 2), (c0 + 1) / (F.col("n0") + 2)
     absent = F.ln((1 - p1) / (1 - p0))
-    cells = cells.select("level", "feature", "item", "fold", absent.alias("absent"), (F.ln(p1 / p0) - absent).alias("more"))
+    cells = held(cells.select("level", "feature", "item", "fold", absent.alias("absent"), (F.ln(p1 / p0) - absent).alias("more")))
     constant = cells.groupBy("level", "item", "fold").agg(F.sum("absent").alias("c")).join(small(models), ["item", "fold"]).select("level", "item", "fold", (F.ln(F.col("n1") / F.col("n0")) + F.col("c")).alias("c"))
 
     present = seen.join(small(cells.select("level", "feature", "item", "fold", "more")), ["level", "feature", "fold"]).groupBy("level", "rid", "item").agg(F.sum("more").alias("s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,12 @@ from pyspark.sql import functions as F
 ROWS = 200_000
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, kept where it is computed first, in memory or on disk; what is lost with an executor is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def small(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """df with a broadcast hint if the optimizer's bound or a count says that it is small; else a shuffled join, whose skew AQE splits."""
+    """A lookup table, computed once: with a broadcast hint if it has at most `rows` rows, else a shuffled join whose skew AQE splits."""
+    df = held(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.sets import r6
-from tidemark.operators.broadcasts import small
+from tidemark.operators.broadcasts import ROWS, held
 from tidemark.operators.checks import pick_by_index
 from tidemark.operators.splits import hash_rank
 
@@ -19,11 +19,11 @@ def draw(*parts) -> Column:
 
 def bootstrap_means(rows: DataFrame, key: str, value: str, times: int, seed=7) -> DataFrame:
     """b and the mean of `value` over as many draws with replacement as there are rows, for b below `times`."""
-    numbered = hash_rank(rows.select(key, value), key).select((F.col("_rank") - 1).alias("ix"), F.col(value).alias("v"))
-    n = rows.count()
+    numbered = held(hash_rank(rows.select(key, value), key).select((F.col("_rank") - 1).alias("ix"), F.col(value).alias("v")))
+    n = numbered.count()
     grid = rows.sparkSession.range(times * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.col("id").alias("i"))
     drawn = grid.select("b", (draw(F.col("b"), F.col("i") % max(n, 1), seed) % max(n, 1)).alias("ix"))
-    return drawn.join(small(numbered), "ix").groupBy("b").agg(F.round(F.avg("v"), 9).alias("mean"))
+    return drawn.join(F.broadcast(numbered) if n <= ROWS else numbered, "ix").groupBy("b").agg(F.round(F.avg("v"), 9).alias("mean"))
 
 
 def interval(means: DataFrame, times: int, alpha: float = 0.05) -> DataFrame:
@@ -33,15 +33,19 @@ def interval(means: DataFrame, times: int, alpha: float = 0.05) -> DataFrame:
 
 
 def bootstrap_ci(rows: DataFrame, key: str, value: str, times: int = 1000, alpha: float = 0.05, seed=7) -> DataFrame:
+    return _around(rows, value, bootstrap_means(rows, key, value, times, seed), times, alpha)
+
+
+def _around(rows: DataFrame, value: str, means: DataFrame, times: int, alpha: float) -> DataFrame:
     total = rows.agg(F.count("*").alias("n"), r6(F.avg(value)).alias("mean"))
-    return total.crossJoin(F.broadcast(interval(bootstrap_means(rows, key, value, times, seed), times, alpha)))
+    return total.crossJoin(F.broadcast(interval(means, times, alpha)))
 
 
 def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, times: int = 1000, seed=7) -> DataFrame:
     """The mean difference a - b, its 95 % interval, and p, the share of resampled means that aren't above 0."""
-    diff = rows.select(key, (F.col(a) - F.col(b)).alias("d"))
-    means = bootstrap_means(diff, key, "d", times, seed)
-    out = bootstrap_ci(diff, key, "d", times, 0.05, seed)
+    diff = held(rows.select(key, (F.col(a) - F.col(b)).alias("d")))
+    means = held(bootstrap_means(diff, key, "d", times, seed))
+    out = _around(diff, "d", means, times, 0.05)
     return out.crossJoin(F.broadcast(means.agg(r6(F.avg((F.col("mean") <= 0).cast("int"))).alias("p"))))
 
 
@@ -60,7 +64,7 @@ def style_effect(rows: DataFrame, marked: Column, k: int, times: int) -> DataFra
     """
     from tidemark.functions.sets import jaccard
 
-    base = rows.select("rid", "items", marked.alias("m"))
+    base = held(rows.select("rid", "items", marked.alias("m")))
     n = base.agg(F.count_if("m").alias("n")).first().n
     perms = base.crossJoin(F.broadcast(base.sparkSession.range(times).select(F.col("id").alias("b"))))
     ranked = hash_rank(perms.withColumn("_key", F.concat_ws(":", "rid", "b")), "_key", seed="perm", within=("b",)).select("b", "items", (F.col("_rank") <= n).alias("m"))

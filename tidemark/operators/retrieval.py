@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clauses
 from tidemark.functions.sets import field_set, jaccard, r6
-from tidemark.operators.broadcasts import small
+from tidemark.operators.broadcasts import held, small
 from tidemark.operators.checks import pick_by_index
 from tidemark.operators.resample import draw
 from tidemark.operators.splits import hash_rank
@@ -25,12 +25,14 @@ def candidates(queries: DataFrame, pool: DataFrame, cap: int, least: int) -> Dat
     The queries are a bounded sample and are broadcast, if their count allows; the pool isn't shuffled before the ranks
     cut it down.
     """
+    queries, pool = held(queries), held(pool)
+
     def shared(field: str) -> DataFrame:
         q = queries.select(F.col("rid").alias("q"), F.explode(field).alias("key"))
         p = pool.select("rid", F.explode(field).alias("key"))
         return p.join(small(q), "key").where("rid <> q").select("q", "rid").distinct()
 
-    first = shared("patterns")
+    first = held(shared("patterns"))
     few = queries.select(F.col("rid").alias("q")).join(first.groupBy("q").agg(F.count("*").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < least).select("q")
     pairs = first.unionByName(shared("diseases").join(small(few), "q")).distinct()
     left = queries.select(F.col("rid").alias("q"), F.col("tokens").alias("q_tokens"), F.col("items").alias("q_items"))
@@ -52,8 +54,8 @@ def ceiling(found: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame
 
 def pair_similarity(rows: DataFrame, n_pairs: int, seed=3) -> DataFrame:
     """Mean item similarity of sampled pairs of different visits: all, those that share a pattern, those that don't, and those that share disease and pattern."""
-    numbered = hash_rank(profile(rows), "rid").select((F.col("_rank") - 1).alias("ix"), "items", "patterns", "diseases")
-    n = rows.count()
+    numbered = held(hash_rank(profile(rows), "rid").select((F.col("_rank") - 1).alias("ix"), "items", "patterns", "diseases"))
+    n = numbered.count()
     pairs = rows.sparkSession.range(n_pairs).select((draw(F.col("id"), "a", seed) % max(n, 1)).alias("a"), (draw(F.col("id"), "b", seed) % max(n, 1)).alias("b")).where("a <> b")
     x = numbered.select(F.col("ix").alias("a"), F.struct("items", "patterns", "diseases").alias("x"))
     y = numbered.select(F.col("ix").alias("b"), F.struct("items", "patterns", "diseases").alias("y"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.sets import field_set, jaccard
 from tidemark.operators import bayes, mining, retrieval
 from tidemark.operators import priors as K
+from tidemark.operators.broadcasts import held
 from tidemark.operators import resample as R
 from tidemark.operators.history import is_followup
 from tidemark.plans.catalog import field, query, ratio, with_visits
@@ -65,7 +66,7 @@ STRATA = ("first", "followup", "usual_length")
 
 @query(with_visits(TWO_SQL + "".join(f", two_{s} AS (SELECT * FROM two WHERE {SUBSETS[s]})" + boot_sql(f"two_{s}", s) for s in STRATA) + " UNION ALL ".join(f"SELECT '{s}' AS subset, count(*) AS n, round(avg(v), 6) AS mean, {ci_sql(s)}, round((SELECT avg((mean <= 0)::INT) FROM {s}_m), 6) AS p FROM two_{s}" for s in STRATA)))
 def paired_bootstrap_subset(spark, sf_dir):
-    rows = two_runs(spark, sf_dir)
+    rows = held(two_runs(spark, sf_dir))
     masks = {"first": ~F.col("followup"), "followup": F.col("followup"), "usual_length": ~F.array_contains("flags", "length_outlier")}
     out = None
     for name in STRATA:
@@ -190,7 +191,7 @@ def family_rows(rows, names):
 
 @query(with_visits(f", feat AS (SELECT 0 AS level, rid, 'tokens=' || feature AS feature FROM (SELECT rid, unnest({TOKENS}) AS feature FROM gold))" + nb_sql("feat") + "SELECT level, item, n, positives, auc FROM nb"))
 def nb_auc(spark, sf_dir):
-    g = gold(spark, sf_dir)
+    g = held(gold(spark, sf_dir))
     return bayes.naive_bayes_auc(g, family_rows(g, ["tokens"]))
 
 
@@ -201,14 +202,14 @@ def _levels(names):
 @query(_levels(["codes", "tokens"]))
 def info_gain(spark, sf_dir):
     """What the tokens of the text add to the codes."""
-    g = gold(spark, sf_dir)
+    g = held(gold(spark, sf_dir))
     return bayes.macro_by_level(bayes.naive_bayes_auc(g, family_rows(g, ["codes", "tokens"])))
 
 
 @query(_levels(list(FAMILIES)))
 def ablation_levels(spark, sf_dir):
     """Six levels, each with one more family of features."""
-    g = gold(spark, sf_dir)
+    g = held(gold(spark, sf_dir))
     return bayes.macro_by_level(bayes.naive_bayes_auc(g, family_rows(g, list(FAMILIES))))
 
 

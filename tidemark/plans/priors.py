@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.sets import jaccard, r6
 from tidemark.operators import priors as K
 from tidemark.operators import splits
+from tidemark.operators.broadcasts import held
 from tidemark.operators.history import is_followup
 from tidemark.plans.catalog import field, query, with_visits
 from tidemark.plans.catalog import jaccard as jac
@@ -15,7 +16,7 @@ TOP = 4
 
 
 def sides(spark, sf_dir):
-    s = splits.by_entity(gold(spark, sf_dir))
+    s = held(splits.by_entity(gold(spark, sf_dir)))
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
