@@ -1,6 +1,6 @@
 """All named queries."""
 
-from tidemark.plans import history, metrics, mining, parsing, pools, priors  # noqa: F401
+from tidemark.plans import history, metrics, mining, parsing, pools, priors, rules  # noqa: F401
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

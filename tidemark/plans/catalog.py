@@ -75,7 +75,7 @@ train AS (SELECT * FROM split WHERE split = 'train'),
 test AS (SELECT * FROM split WHERE split = 'test'),
 top_items AS (SELECT item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item) AS r FROM (SELECT unnest(items) AS item FROM train) GROUP BY item),
 dictionary AS (SELECT p_brand AS item, min(p_size) / 10.0 AS dose_min, max(p_size) / 4.0 + count(*) / 100.0 AS dose_max,
-  coalesce(list_sort(list(DISTINCT p_type) FILTER (p_size > 30)), []) AS capabilities, count(*) AS n_uses FROM part GROUP BY p_brand)
+  coalesce(list_sort(list(DISTINCT p_type) FILTER ((CAST(regexp_extract(p_brand, '[0-9]+') AS INT) + length(p_type)) % 3 = 0 AND CAST(regexp_extract(p_brand, '[0-9]+') AS INT) % 4 <> 0)), []) AS capabilities, count(*) AS n_uses FROM part GROUP BY p_brand)
 """
 
 

@@ -8,6 +8,7 @@ from tidemark.operators import priors as K
 from tidemark.operators.broadcasts import held
 from tidemark.operators import resample as R
 from tidemark.operators.history import is_followup
+from tidemark.operators.splits import order_hash
 from tidemark.plans.catalog import field, query, ratio, with_visits
 from tidemark.plans.catalog import jaccard as jac
 from tidemark.plans.metrics import SUBSETS
@@ -225,10 +226,11 @@ def pair_similarity(spark, sf_dir):
     return retrieval.pair_similarity(gold(spark, sf_dir), N_PAIRS)
 
 
-CAP, ENOUGH, KS = 20, 50, (1, 5, 10, 20)
+#: Candidates kept, pool size below which it is widened, and the size of the query sample.
+CAP, ENOUGH, KS, SAMPLE = 400, 50, (1, 5, 10, 20), 800
 
 
-@query(with_visits(f""", prof AS (SELECT rid, split, items, list_distinct({TOKENS}) AS tokens, {PATTERN} AS patterns, {field('labels', 'disease')} AS diseases FROM split), q AS (SELECT rid AS q, items AS qi, tokens AS qt, patterns, diseases FROM prof WHERE split = 'test' ORDER BY rid LIMIT 80),
+@query(with_visits(f""", prof AS (SELECT rid, split, items, list_distinct({TOKENS}) AS tokens, {PATTERN} AS patterns, {field('labels', 'disease')} AS diseases FROM split), q AS (SELECT rid AS q, items AS qi, tokens AS qt, patterns, diseases FROM prof WHERE split = 'test' ORDER BY sha256(rid || ':q'), rid LIMIT {SAMPLE}),
 pool AS (SELECT * FROM prof WHERE split = 'train'), p1 AS (SELECT DISTINCT q, rid FROM (SELECT q, unnest(patterns) AS k FROM q) JOIN (SELECT rid, unnest(patterns) AS k FROM pool) USING (k)),
 few AS (SELECT q FROM q LEFT JOIN (SELECT q, count(*) AS n FROM p1 GROUP BY q) USING (q) WHERE coalesce(n, 0) < {ENOUGH}),
 p2 AS (SELECT DISTINCT q, rid FROM (SELECT q, unnest(diseases) AS k FROM q WHERE q IN (SELECT q FROM few)) JOIN (SELECT rid, unnest(diseases) AS k FROM pool) USING (k)), pairs AS (SELECT * FROM p1 UNION SELECT * FROM p2),
@@ -238,7 +240,7 @@ b AS (SELECT * FROM (SELECT k, q, j, adds, deletes, row_number() OVER (PARTITION
 SELECT k, count(*) AS queries, round(list_sort(list(j))[CAST(count(*) // 2 AS INT) + 1], 6) AS median, round(avg(j), 6) AS mean, round(avg((j >= 0.5)::INT), 6) AS half, round(avg((j >= 0.7)::INT), 6) AS most, round(avg(adds), 6) AS adds, round(avg(deletes), 6) AS deletes FROM b GROUP BY k"""))
 def retrieval_ceiling(spark, sf_dir):
     train, test = sides(spark, sf_dir)
-    queries = retrieval.profile(test).orderBy("rid").limit(80)
+    queries = retrieval.profile(test).orderBy(order_hash("rid", seed="q"), "rid").limit(SAMPLE)
     return retrieval.ceiling(retrieval.candidates(queries, retrieval.profile(train), CAP, ENOUGH), KS)
 
 

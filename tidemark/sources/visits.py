@@ -71,7 +71,15 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, dose_min, dose_max, capabilities, n_uses: the parts of each brand as its dictionary entry."""
     part = table(spark, sf_dir, "part")
+    number = F.regexp_extract("p_brand", r"\d+", 0).cast("int")
     return part.groupBy(F.col("p_brand").alias("item")).agg(
         (F.min("p_size") / 10).alias("dose_min"), (F.max("p_size") / 4 + F.count("*") / 100).alias("dose_max"),
-        F.sort_array(F.collect_set(F.when(F.col("p_size") > 30, F.col("p_type")))).alias("capabilities"), F.count("*").alias("n_uses"),
+        F.sort_array(F.collect_set(F.when(((number + F.length("p_type")) % 3 == 0) & (number % 4 != 0), F.col("p_type")))).alias("capabilities"), F.count("*").alias("n_uses"),
     )
+
+
+def dosed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rid, item and dose: the largest quantity of each brand of an order."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").where("l_quantity > 10")
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("rid"), F.col("p_brand").alias("item")).agg(F.max("l_quantity").alias("dose"))
