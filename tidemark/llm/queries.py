@@ -80,6 +80,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+starts AS (SELECT row, doc_id, words, CAST(unnest(range(1, len(words) - 18)) AS INT) AS i FROM d WHERE len(words) >= 20),
+seen AS (SELECT row, i, row_number() OVER (PARTITION BY array_to_string(words[i : i + 19], ' ') ORDER BY doc_id NULLS FIRST, row, i) AS r FROM starts),
+gone AS (SELECT DISTINCT row, i + k AS place FROM seen, range(0, 20) AS o(k) WHERE r > 1),
+lost AS (SELECT row, list(place) AS places FROM gone GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda w, k: places IS NULL OR NOT list_contains(places, k)), ' ')) AS kept_sha256
+FROM d LEFT JOIN lost USING (row)
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import archived
 
@@ -99,4 +111,4 @@ FROM bits JOIN firsts USING (html)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_language": op8_language, "op9_passages": op9_passages, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op9_passages": OP9_SQL, "op10_warc": OP10_SQL}
