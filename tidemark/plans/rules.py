@@ -33,9 +33,10 @@ def q(names) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
-INPUT_SQL = f""", doses AS (SELECT l_orderkey AS rid, p_brand AS item, max(l_quantity) AS dose FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10 GROUP BY ALL),
+GOLD_INPUT = f""", doses AS (SELECT l_orderkey AS rid, p_brand AS item, max(l_quantity) AS dose FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10 GROUP BY ALL),
 inp AS (SELECT rid, items, {field('labels', 'goal')} AS goals, sex = 'F' AS restricted FROM gold),
-gmap AS (SELECT * FROM (VALUES {', '.join(f"('{g}', {q(w)})" for g, w in sorted(GOAL_MAP.items()))}) t(goal, wanted)),
+"""
+CHECKS_SQL = f"""gmap AS (SELECT * FROM (VALUES {', '.join(f"('{g}', {q(w)})" for g, w in sorted(GOAL_MAP.items()))}) t(goal, wanted)),
 f_illegal AS (SELECT rid, 'block' AS level, 'ILLEGAL_ITEM' AS code, array_to_string(list_sort(bad), ',') AS detail FROM (SELECT rid, list_filter(items, lambda x: NOT list_contains({q(RULES.vocabulary)}, x)) AS bad FROM inp) WHERE len(bad) > 0),
 prs AS (SELECT * FROM (VALUES {', '.join(f"('{min(p)}', '{max(p)}', '{RULES.downgraded.get(tuple(sorted(p)), 'block')}')" for p in RULES.pairs)}) t(a, b, level)),
 f_pair AS (SELECT rid, level, 'INCOMPATIBLE' AS code, a || '+' || b AS detail FROM inp JOIN prs ON list_contains(items, a) AND list_contains(items, b)),
@@ -49,13 +50,15 @@ cov AS (SELECT rid, count(*) AS n, count(*) FILTER (met) AS m, count(*) FILTER (
 f_cov AS (SELECT rid, CASE WHEN share < {RULES.warn_below} THEN 'warn' ELSE 'note' END AS level, CASE WHEN share = 0 THEN 'COVERAGE_ZERO' WHEN share < {RULES.warn_below} THEN 'COVERAGE_LOW' ELSE 'COVERAGE_PARTIAL' END AS code, missing AS detail FROM cov WHERE share < {RULES.note_below}),
 f_contra AS (SELECT rid, 'warn' AS level, 'CONTRADICTION' AS code, goal || ':' || array_to_string(against, ',') AS detail FROM (SELECT rid, goal, list_filter(capabilities, lambda c: regexp_matches(c, pattern)) AS against FROM gl
  JOIN (VALUES {', '.join(f"('{g}', '{p}')" for g, p in RULES.opposing.items())}) o(goal, pattern) USING (goal) WHERE NOT met) WHERE len(against) > 0),
-conf AS (SELECT rid, avg((len(capabilities) > 0)::INT) AS share, list_sort(list(DISTINCT item) FILTER (len(capabilities) = 0)) AS unknown FROM (SELECT rid, unnest(items) AS item FROM inp) JOIN dictionary USING (item) GROUP BY rid),
+conf AS (SELECT rid, avg((coalesce(len(capabilities), 0) > 0)::INT) AS share, list_sort(list(DISTINCT item) FILTER (coalesce(len(capabilities), 0) = 0)) AS unknown FROM (SELECT rid, unnest(items) AS item FROM inp) LEFT JOIN dictionary USING (item) GROUP BY rid),
 f_conf AS (SELECT rid, 'info' AS level, 'UNKNOWN_ITEM' AS code, array_to_string(unknown, ',') AS detail FROM conf WHERE len(unknown) > 0 UNION ALL SELECT rid, 'note', 'LOW_CONFIDENCE', CAST(CAST(share AS DECIMAL(6,4)) AS VARCHAR) FROM conf WHERE share < {RULES.low_confidence}),
 found AS (SELECT * FROM f_illegal UNION ALL SELECT * FROM f_pair UNION ALL SELECT * FROM f_restricted UNION ALL SELECT * FROM f_dose UNION ALL SELECT * FROM f_cov UNION ALL SELECT * FROM f_contra UNION ALL SELECT * FROM f_conf),
 lev AS (SELECT *, list_position(['info', 'ok', 'note', 'warn', 'block'], level) AS rank FROM found),
 verdict AS (SELECT inp.rid, ['info', 'ok', 'note', 'warn', 'block'][greatest(coalesce(max(rank), 2), 2)] AS verdict, count(rank) AS n_findings, coalesce(string_agg(code, ',' ORDER BY -rank, code, detail), '') AS codes FROM inp LEFT JOIN lev USING (rid) GROUP BY inp.rid)
 """
 
+INPUT_SQL = GOLD_INPUT + CHECKS_SQL
+
 
 def _check(name, source, run):
     def f(spark, sf_dir):
@@ -85,7 +88,28 @@ def verdict_distribution(spark, sf_dir):
     return p.select("verdict", F.col("c").alias("n"), "median_findings", "p05_findings")
 
 
-@query()
+def negative_sql() -> str:
+    """The planted cases as the input of CHECKS_SQL, and the share of each kind that is found."""
+    a, b = sorted(RULES.pairs[0])
+    cap = sorted(RULES.caps)[0]
+    names, goals, flag = "items", "goals", "restricted"
+    kinds = [
+        ("swapped_goal", names, f"list_slice(list_filter({q(GOALS)}, lambda g: NOT list_contains(goals, g)), 1, 1)", flag, ("COVERAGE_ZERO", "CONTRADICTION")),
+        ("stripped", "list_filter(items, lambda x: NOT list_contains(strong, x))", goals, flag, ("LOW_CONFIDENCE", "COVERAGE_ZERO", "COVERAGE_LOW")),
+        ("pair", f"list_concat(list_filter(items, lambda x: x NOT IN ('{a}', '{b}')), {q((a, b))})", goals, flag, ("INCOMPATIBLE",)),
+        ("illegal", "list_concat(items, ['No such item'])", goals, flag, ("ILLEGAL_ITEM",)),
+        ("restricted", f"list_concat(items, ['{RULES.forbidden[0]}'])", goals, "TRUE", ("RESTRICTED_FORBIDDEN",)),
+        ("dose", f"list_concat(items, ['{cap}'])", goals, flag, ("DOSE_CAP",)),
+    ]
+    each = " UNION ALL ".join(f"SELECT rid * 10 + {k} AS rid, rid AS of_rid, {i} AS items, {g} AS goals, {r} AS restricted, '{n}' AS case_type, {q(c)} AS expected FROM inp0" for k, (n, i, g, r, c) in enumerate(kinds))
+    base = GOLD_INPUT.replace("doses AS", "doses0 AS").replace("inp AS", "plain AS")
+    return base + f"""inp0 AS (SELECT plain.*, (SELECT list(item) FROM dictionary WHERE len(capabilities) > 0) AS strong FROM plain), inp AS ({each}),
+doses AS (SELECT inp.rid, item, dose FROM inp JOIN doses0 ON doses0.rid = of_rid WHERE list_contains(items, item) AND NOT (case_type = 'pair' AND item IN ('{a}', '{b}')) UNION ALL SELECT rid, '{cap}', {RULES.caps[cap] * 10} FROM inp WHERE case_type = 'dose'),
+""" + CHECKS_SQL + """, got AS (SELECT rid, list(DISTINCT code) AS got FROM found GROUP BY rid)
+SELECT case_type, count(*) AS n, round(avg(coalesce(list_has_any(got, expected), FALSE)::INT), 6) AS detected FROM inp LEFT JOIN got USING (rid) GROUP BY case_type"""
+
+
+@query(with_visits(negative_sql()))
 def negative_detection(spark, sf_dir):
     """Violations of six kinds planted in every visit, and how many the checks find."""
     d, m = item_dictionary(spark, sf_dir), goal_map(spark)
