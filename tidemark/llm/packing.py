@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -53,24 +55,30 @@ def assign(lengths: list[int], size: int) -> Iterator[tuple[int, int, int, int,
             start, n = start + take, n - take
 
 
+@functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """An encoder with the ids that the tokenizers library gives for the byte-level BPE file at `path`.
+    """An encoder with the ids that the tokenizers library gives for the byte-level BPE file at `path`; a worker keeps it.
 
     The ranks of the same vocabulary, which lie beside it, let tiktoken make the same ids several times faster. Texts with
-    the string of a special token are left to the tokenizers library.
+    the string of a special token are left to the tokenizers library, which is loaded when the first of them comes.
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cache
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(slow.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t), dtype="<u4") for t in texts]
+        return [np.array(slow().encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t), dtype="<u4") for t in texts]
 
     return encode
 
