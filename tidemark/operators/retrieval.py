@@ -20,23 +20,29 @@ def profile(rows: DataFrame) -> DataFrame:
 
 def candidates(queries: DataFrame, pool: DataFrame, cap: int, least: int) -> DataFrame:
     """For each query the `cap` most similar visits of the pool by tokens (ties: smaller rid) among those that share a pattern,
-    or, if these are fewer than `least`, also those that share a disease.
+    or, if these are fewer than `least`, also those that share a disease. A query isn't its own candidate.
 
-    The queries are a bounded sample and are broadcast, if their count allows; the pool isn't shuffled before the ranks
-    cut it down.
+    The inverted index holds the distinct label sets of the pool, not its visits: queries meet these sets through their
+    labels, and then each set's visits, so a pair arises once and needn't be made distinct. The queries are a bounded sample
+    and are broadcast, if their count allows.
     """
-    queries, pool = held(queries), held(pool)
+    queries = held(queries)
+    pool = pool.join(small(queries.select("rid")), "rid", "left_anti")
 
-    def shared(field: str) -> DataFrame:
-        q = queries.select(F.col("rid").alias("q"), F.explode(field).alias("key"))
-        p = pool.select("rid", F.explode(field).alias("key"))
-        return p.join(small(q), "key").where("rid <> q").select("q", "rid").distinct()
+    def matches(asked: DataFrame, field: str) -> DataFrame:
+        """q and each label set of the pool (as `found`) that has one of its labels."""
+        sets = pool.select(F.col(field).alias("found")).distinct()
+        keys = asked.select(F.col("rid").alias("q"), F.explode(field).alias("key"))
+        return sets.select("found", F.explode("found").alias("key")).join(small(keys), "key").select("q", "found").distinct()
 
-    first = held(shared("patterns"))
-    few = queries.select(F.col("rid").alias("q")).join(first.groupBy("q").agg(F.count("*").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < least).select("q")
-    pairs = first.unionByName(shared("diseases").join(small(few), "q")).distinct()
-    left = queries.select(F.col("rid").alias("q"), F.col("tokens").alias("q_tokens"), F.col("items").alias("q_items"))
-    both = pairs.join(pool.select("rid", "items", "tokens"), "rid").join(small(left), "q")
+    first = held(matches(queries, "patterns"))
+    sizes = pool.groupBy(F.col("patterns").alias("found")).agg(F.count("*").alias("n"))
+    enough = first.join(sizes, "found").groupBy(F.col("q").alias("rid")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    few = queries.join(small(enough), "rid", "left_anti")
+    left = small(queries.select(F.col("rid").alias("q"), F.col("tokens").alias("q_tokens"), F.col("items").alias("q_items"), F.col("patterns").alias("q_patterns")))
+    by_pattern = pool.join(first, F.col("patterns") == F.col("found")).join(left, "q")
+    by_disease = pool.join(matches(few, "diseases"), F.col("diseases") == F.col("found")).join(left, "q").where(~F.arrays_overlap("patterns", "q_patterns"))
+    both = by_pattern.unionByName(by_disease)
     scored = both.select("q", "rid", F.round(jaccard(F.col("tokens"), F.col("q_tokens")), 9).alias("sim"), "items", "q_items")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "rid"))).where(F.col("rank") <= cap)
     j = jaccard(F.col("items"), F.col("q_items"))
