@@ -57,6 +57,18 @@ def test_targets_are_met(spark, n):
     assert sorted(map(str, run(spark, docs))) == sorted(map(str, got))
 
 
+def test_reruns_agree_whatever_the_partitions(spark):
+    docs = made(300) + [(5, "w w w", "a")] * 200 + [(None, "w w", "b")] * 90
+    df = spark.createDataFrame([(*d, "a", "b", "c", "d") for d in docs], SCHEMA)
+    runs = [sorted((str(r.doc_id), r["size"], r.taken) for r in mixed(df.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    size, goal = goals(docs)
+    got = defaultdict(int)
+    for r in mixed(df).collect():
+        got[r.source] += r.taken
+    assert all(abs(got[s] - goal[s]) <= 90 for s in goal)
+
+
 def test_each_document_keeps_its_probability(spark):
     docs = [(i, "w " * (1 + i % 7), s) for i in range(40) for s in ("a", "b")]
     total, runs = defaultdict(int), 12

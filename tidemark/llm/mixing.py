@@ -80,11 +80,12 @@ def mixed(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS,
     pivotal dependent rounding settles. Nodes of the reduction tree pair FAN documents of a source each, dealt by hash;
     what stays fractional at a node (one document at most) is paired again at the next level, up to one a source, which is
     drawn. So taken words (size * copies) differ from the target by less than the size of one document. A source that
-    holds a third of all rows has more nodes, not larger ones. row is the row's number in the order of reading; reruns
-    over the same files agree.
+    holds a third of all rows has more nodes, not larger ones. Rows of the same doc_id, source and size share their whole
+    copies, and have one fraction together, so a node never fills with them. row is the row's number in the order of
+    reading. Draws depend on doc_id, source and size alone: reruns agree, whatever the partitions.
 
-    Null text: size 0, no copy. A source without words has target 0. Null source: the last source. Null doc_id and rows
-    that repeat: rounded by themselves. No rows: no rows. Other columns are ignored.
+    Null text: size 0, no copy. A source without words has target 0. Null source: the last source. Null doc_id: one id like
+    any other. No rows: no rows. Other columns are ignored.
     """
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes().alias("size"))
     table = written(slim)
@@ -93,10 +94,13 @@ def mixed(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS,
     joined = table.alias("t").join(small(goals).alias("g"), F.col("t.source").eqNullSafe(F.col("g.source"))).select("row", "doc_id", "t.source", "size", "source_size", "target")
     rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
     whole = F.floor(rate + NEAR).cast("int")
-    draw = lambda level: F.xxhash64("doc_id", "row", F.lit(f"{seed} {level}"))
+    draw = lambda level: F.xxhash64("doc_id", "source", "size", F.lit(f"{seed} {level}"))
     uniform = lambda level: F.shiftrightunsigned(draw(level), 11).cast("double") / float(1 << 53)
-    start = joined.withColumn("rate", rate).withColumn("whole", whole).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-    start = start.withColumn("p", F.when(F.col("p") < NEAR, 0.0).otherwise(F.col("p")))
+    alike = Window.partitionBy("doc_id", "source", "size")
+    start = joined.withColumn("rate", rate).withColumn("whole", whole).withColumns({"number": F.row_number().over(alike.orderBy("row")), "p": F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.count("*").over(alike)})
+    more = F.floor(F.col("p") + NEAR)
+    start = start.withColumns({"whole": F.col("whole") + (F.col("number") <= more).cast("int"), "p": F.when((F.col("number") == more + 1) & (F.col("p") - more > NEAR), F.col("p") - more).otherwise(0.0)})
+    start = written(start.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "p"))
     level, rows = 0, most_rows
     open_rows = start.where("p > 0").select("source", "row", "doc_id", "size", "p", "whole")
     settled = []
