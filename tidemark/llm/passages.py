@@ -142,8 +142,11 @@ def _sketch_bits(level: int):
             twice.append(np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=len(low)).astype(bool))
             sizes.append(len(low))
         key = np.concatenate(keys)
-        again = np.bincount(key, minlength=SUB << 16)[key] > 1
-        again |= np.concatenate(twice)
+        ordered = np.sort(key)
+        often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        again = np.concatenate(twice)
+        if len(often):
+            again |= often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
         ends = np.cumsum(sizes)
         bits = [np.packbits(again[e - k : e]).tobytes() for e, k in zip(ends, sizes, strict=True)]
         return _replies(table, level, bits)
