@@ -70,6 +70,18 @@ def test_estimates_resist_outliers(spark):
     assert 0.6 < np.linalg.det(cov) / np.linalg.det(np.cov(clean.T)) < 8  # the subset has more than its share of the clean rows
 
 
+def test_groups_with_much_junk(spark):
+    """In one group 35 % of the rows are junk, in the other 45 %."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(800):
+        words = ["".join(rng.choices(["ka", "lo", "mi", "té", "s"], k=rng.randrange(1, 5))) for _ in range(rng.randrange(60, 200))]
+        junk = i % 20 < (7 if i < 400 else 9)
+        docs.append((i, " ".join(w + "#" * (junk and k % 2) for k, w in enumerate(words)), "de", "s1" if i < 400 else "s2"))
+    got = {r.doc.doc_id: r for r in run(spark, docs)}
+    assert [k for k, r in sorted(got.items()) if r.kept] == [d[0] for d in docs if "#" not in d[1]]
+
+
 def test_consistency_factor():
     x = np.random.default_rng(0).normal(size=(200_000, 4))
     near = x[np.argsort((x**2).sum(1))[:150_000]]

@@ -67,9 +67,11 @@ VECTOR = (
     ("x3", "ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 1.0),
     ("x4", "ln(1 + 100 * n_dup_lines / greatest(n_words, 1))", 0.5),
 )
-#: Share of a group's rows in the subset of least determinant, steps of concentration, rows that a group needs for an
-#: estimate of its own, and the squared Mahalanobis distance beyond which a text is rejected.
-SUBSET, STEPS, LEAST_ROWS, CUT = 0.75, 3, 50, 40.0
+#: Rows that a group needs for an estimate of its own, the squared Mahalanobis distance beyond which a text is rejected, and
+#: by what the logarithm of a determinant falls at least in a step that isn't the last.
+LEAST_ROWS, CUT, FALL = 50, 40.0, 1e-3
+#: The subset of least determinant has (rows + dimensions + 1) / 2 rows, rounded up to the next of these shares.
+SHARES = [0.5 + 0.005 * k for k in range(21)]
 
 
 def consistency(share: float) -> float:
@@ -89,7 +91,7 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i in _D for j in range(i + 1)]]
 
 
-def _factored(table: DataFrame, keys: list[str], factor: float) -> DataFrame:
+def _factored(table: DataFrame, keys: list[str], factor: float | Column) -> DataFrame:
     """From moments m, c: the inverse Cholesky factor w (w00, w10, ...) of factor * c plus the least spreads, and the logarithm of its determinant."""
     out = table.select(*keys, "n", *[f"m{i}" for i in _D], *[(F.col(f"c{i}{j}") * factor + (VECTOR[i][2] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in _D for j in range(i + 1)])
     for j in _D:  # lower triangle, column by column
@@ -123,8 +125,9 @@ def estimates(table: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates of each group of `table` (group, x1..x4): group, n, m, w.
 
     Two starts, one from medians and quartiles and one from mean and covariance, are concentrated: the rows nearest to
-    an estimate (SUBSET of the group, by an approximate quantile of the distances) give the next one. Of the two the one
-    with the smaller determinant stays. All rows take part in each step; groups are pre-aggregated before they meet.
+    an estimate (just over half of the group, by an approximate quantile of the distances) give the next one, until the
+    determinant stops falling. Of the two the one with the smaller determinant stays. All rows take part in each step; groups
+    are pre-aggregated before they meet, and those that have converged are left out.
     """
     quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q{i}") for i, x in enumerate(_X)]
     raw = written(table.groupBy("group").agg(*_moments(), *quartiles))
@@ -132,12 +135,25 @@ def estimates(table: DataFrame) -> DataFrame:
     plain = raw.select("group", F.lit(1).alias("start"), "n", *[f"m{i}" for i in _D], *[f"c{i}{j}" for i in _D for j in range(i + 1)])
     keys = ["group", "start"]
     now = written(_factored(robust.unionByName(plain), keys, 1.0))
-    factor = consistency(SUBSET)
-    for _ in range(STEPS):
-        far = table.join(small(now), "group").select(*keys, *_X, _distance().alias("d"))
-        bound = written(far.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 10000).alias("bound")))
-        near = far.join(small(bound), keys).where("d <= bound")
-        now = written(_factored(near.groupBy(*keys).agg(*_moments()), keys, factor))
+    factors = F.array(*[F.lit(consistency(k / 200)) for k in range(100, 201)])
+    wanted = (F.col("rows") + len(_X) + 1) / 2 / F.col("rows")
+    place = F.least(F.ceil(F.round((wanted - 0.5) / 0.005, 6)), F.lit(len(SHARES) - 1)).cast("int")
+    active, now = now, None
+    while True:
+        far = table.join(small(active), "group").select(*keys, *_X, _distance().alias("d"))
+        bounds = far.groupBy(*keys).agg(F.percentile_approx("d", F.array(*[F.lit(x) for x in SHARES]), 10000).alias("q"), F.count("*").alias("rows"))
+        bound = written(bounds.select(*keys, "rows", F.get("q", place).alias("bound")))
+        near = far.join(small(bound), keys).where("d <= bound").groupBy(*keys).agg(*_moments(), F.max("rows").alias("rows"))
+        share = F.greatest(F.round(200 * F.col("n") / F.col("rows")).cast("int") - 100, F.lit(0))
+        step = written(_factored(near, keys, F.get(factors, share)))
+        if now is None:
+            active = now = step
+            continue
+        falls = step.join(now.select(*keys, F.col("log_det").alias("before")), keys).where(F.col("log_det") < F.col("before") - FALL).drop("before")
+        active = written(falls)
+        if active.isEmpty():
+            break
+        now = written(active.unionByName(now.join(active.select(*keys), keys, "left_anti")))
     best = now.groupBy("group").agg(F.min_by(F.struct(*[c for c in now.columns if c not in keys]), F.struct("log_det", "start")).alias("e"))
     return best.join(raw.select("group", F.col("n").alias("rows")), "group").select("group", F.col("rows").alias("n"), *[f"e.{c}" for c in now.columns if c[0] in "mw"])
 
