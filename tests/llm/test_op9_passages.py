@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from tidemark.llm.passages import kept_words
+from tidemark.llm.passages import Block, kept_words, leftmost_least, short_rows
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("row", T.StringType())])
 
@@ -24,9 +26,9 @@ def brute(docs, window):
     return sorted(out, key=str)
 
 
-def check(spark, docs, window=20, start=10, parts=3):
+def check(spark, docs, window=20, start=5, parts=3):
     df = spark.createDataFrame([(*d, "other") for d in docs], SCHEMA).repartition(1).coalesce(1) if parts == 1 else spark.createDataFrame([(*d, "other") for d in docs], SCHEMA)
-    got = kept_words(df, window, start, bucket_windows=50).collect()
+    got = kept_words(df, window, start, block_bytes=3000).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(docs, window)
     return got
 
@@ -65,3 +67,30 @@ def test_empty_and_long(spark):
 def test_levels(spark):
     with pytest.raises(ValueError):
         kept_words(spark.createDataFrame([], SCHEMA), window=20, start=7)
+
+
+def test_least_of_each_stretch():
+    rng = np.random.default_rng(3)
+    for n, width in ((1, 1), (40, 16), (60, 7), (16, 16)):
+        h = rng.integers(0, 9, n).astype(np.uint64)
+        assert leftmost_least(h, width).tolist() == [i + int(np.argmin(h[i : i + width])) for i in range(n - width + 1)]
+
+
+def test_rows_of_a_group_are_a_share_of_its_words():
+    """What a map group sends on the first level depends on its own words alone: a row of fixed width for about 2 of 17 of them."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 20_000))) for _ in range(5)]
+    block = Block(pa.table({"row": list(range(5)), "doc_id": list(range(5)), "text": texts}), [5, 10, 20])
+    sent = short_rows(0, block, 5, None)
+    assert 0.10 < sent.num_rows / 100_000 < 0.14 and sent.nbytes == 20 * sent.num_rows
+    again = np.asarray(sent.column("key")).view(np.uint64)
+    assert block.candidates(10, again).all() and not block.candidates(10, again[:0]).any()
+    assert sent.num_rows <= short_rows(0, block, 10, again).num_rows < 60_000
+
+
+def test_no_texts_in_a_shuffle_after_the_first(spark):
+    df = spark.createDataFrame([(1, "a b c", "x")], SCHEMA)
+    plan = kept_words(df)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 6 and all("block" in line or "key" in line or "one" in line for line in exchanges)
+    assert not any("text" in line for line in exchanges)

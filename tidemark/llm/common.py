@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 #: A table may be broadcast when it has at most this many rows (each a few dozen bytes wide).
 BROADCAST_ROWS = 100_000
+#: Bytes of a bucket, by estimate.
+BUCKET_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs only)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -35,6 +39,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df written once to the shared folder as a table bucketed by `key`: groups by that key read it without another shuffle.
+
+    The number of buckets follows from Catalyst's estimate of the size, without a pass over the rows, and sets no result.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n = 2 * spark.sparkContext.defaultParallelism
+    if size < 1 << 60:  # beyond that it isn't known
+        n = min(most, max(n, -(-size // BUCKET_BYTES)))
+    name, path = f"tidemark_{uuid.uuid4().hex}", f"{scratch(spark)}/{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018 (resolves it before its name goes)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else as it is: a shuffled join, whose skew AQE splits."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,36 +3,46 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from tidemark.llm.common import written
+from tidemark.llm.common import bucketed
 from tidemark.llm.words import WORD_MULT_2, window_hashes, word_hashes
 
-#: Windows of words that end up in one reduce group, on average, and documents of one map group.
-BUCKET_WINDOWS, BLOCK_BITS = 1 << 20, 11
-#: A short window's key has 16 bits and these more, besides its bucket; about 1 in 16 of the other keys is then a false hit.
-SUB = 256
+#: Bytes of text after which a map group is closed (a longer text is one by itself), and what each row counts besides its text.
+BLOCK_BYTES, ROW_BYTES = 4 << 20, 16
 
-MASKS = "block long, level int, bucket int, digest long, bits binary"
-SKETCHES = "block long, bucket int, digest long, counts binary, lows binary, twice binary"
-EXACT = "block long, bucket int, digest long, hashes binary, which binary, ids binary"
+SHORT = "block long, key long, many int"
+FULL = "block long, one long, two long, doc_id long"
 KEPT = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-CHANGED = "the input gave other rows when it was read again; write it to files first"
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ddl.split(", ")])
+
+
+def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each place the one of the least hash among it and the next width - 1 (the first of equal ones); one place fewer for each of these."""
+    at, have = np.arange(len(hashes)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(hashes[left] <= hashes[right], left, right)
+        have += step
+    return at
 
 
 class Block:
     """The words of some documents, in the order of doc_id (null first), equal ones in the order of their rows."""
 
-    def __init__(self, table: pa.Table | pa.RecordBatch):
-        table = table.select(["row", "doc_id", "text"])
+    def __init__(self, table: pa.Table, levels: list[int]):
         row, key = np.asarray(table.column("row")), table.column("doc_id").to_pylist()
         self.order = sorted(range(len(key)), key=lambda i: (key[i] is not None, key[i] or 0, row[i]))
         self.rows = row[self.order]
@@ -40,191 +50,107 @@ class Block:
         texts = table.column("text").cast(pa.binary()).to_pylist()
         self.texts = [texts[i] for i in self.order]
         self.words, self.bounds = word_hashes(self.texts)
-        self.digest = int.from_bytes(hashlib.blake2b(repr(self.keys).encode() + self.words.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-    def candidates(self, level: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where windows of `level` words begin of which both halves repeat (all, if there is no shorter level); two hashes of each."""
-        ok, one = window_hashes(self.words, self.bounds, level)
-        _, two = window_hashes(self.words, self.bounds, level, WORD_MULT_2)
-        at = np.flatnonzero(ok)
-        if shorter is not None:
-            both = shorter[at] & shorter[at + level // 2]
-            at, one, two = at[both], one[both], two[both]
-        return at, one, two
-
-
-def _bucket(two: np.ndarray, n: int) -> np.ndarray:
-    return ((two >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def _short_keys(two: np.ndarray, n: int) -> np.ndarray:
-    return _bucket(two, n) * (SUB << 16) + (two & np.uint64((SUB << 16) - 1)).astype(np.int64)
-
-
-def _by_block(batches: Iterator[pa.RecordBatch], block_of) -> Iterator[tuple[int, pa.Table]]:
-    """Joins a stream's consecutive rows of one block."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        blocks = block_of(batch)
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo == hi:
-                continue
-            if held and blocks[lo] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = int(blocks[lo])
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
-def _masks(right: pa.Table, digest: int) -> dict[int, dict[int, np.ndarray]]:
-    found: dict[int, dict[int, np.ndarray]] = {}
-    for level, bucket, made_of, bits in zip(*(right.column(c).to_pylist() for c in ("level", "bucket", "digest", "bits")), strict=True):
-        if made_of != digest:
-            raise RuntimeError(CHANGED)
-        found.setdefault(level, {})[bucket] = np.frombuffer(bits, dtype=np.uint8)
-    return found
-
-
-def _runs(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Each bucket with the range of its entries, which are sorted by bucket."""
-    names, firsts = np.unique(buckets, return_index=True)
-    yield from zip(names.tolist(), firsts.tolist(), np.append(firsts[1:], len(buckets)).tolist()[: len(names)], strict=True)
-
-
-def _flags(buckets: np.ndarray, masks: dict[int, np.ndarray]) -> np.ndarray:
-    """The bit of each of the entries, which are sorted by bucket."""
-    out = np.zeros(len(buckets), dtype=bool)
-    for b, lo, hi in _runs(buckets):
-        if b not in masks:
-            raise RuntimeError(CHANGED)
-        out[lo:hi] = np.unpackbits(masks[b], count=hi - lo).astype(bool)
-    return out
-
-
-def _climb(block: Block, levels: list[int], masks: dict[int, dict[int, np.ndarray]], n: int) -> np.ndarray | None:
-    """Where the windows of the last of `levels` begin that repeat."""
-    again = None
-    for level in levels:
-        at, _, two = block.candidates(level, again)
-        entries, which = np.unique(_short_keys(two, n), return_inverse=True)
-        again = np.zeros(len(block.words), dtype=bool)
-        again[at] = _flags(entries // (SUB << 16), masks.get(level, {}))[which]
-    return again
-
-
-def _sketches(name: int, block: Block, level: int, shorter: np.ndarray | None, n: int) -> Iterator[dict]:
-    _, _, two = block.candidates(level, shorter)
-    entries, counts = np.unique(_short_keys(two, n), return_counts=True)
-    buckets = entries // (SUB << 16)
-    for b, lo, hi in _runs(buckets):
-        keys = entries[lo:hi] % (SUB << 16)
-        yield {
-            "block": name, "bucket": b, "digest": block.digest, "counts": np.bincount(keys >> 16, minlength=SUB).astype("<u4").tobytes(),
-            "lows": (keys & 0xFFFF).astype("<u2").tobytes(), "twice": np.packbits(counts[lo:hi] > 1).tobytes(),
-        }
-
-
-def _replies(table: pa.Table, level: int, bits: list[bytes]) -> pa.Table:
-    return pa.table([table.column("block"), pa.array([level] * len(bits), pa.int32()), table.column("bucket"), table.column("digest"), pa.array(bits, pa.binary())], schema=_arrow(MASKS))
-
-
-def _sketch_bits(level: int):
-    def reduce(table: pa.Table) -> pa.Table:
-        """Which short windows lie in two blocks or twice in one, as a bit per entry of each block."""
-        keys, twice, sizes = [], [], []
-        for counts, lows, flags in zip(*(table.column(c).to_pylist() for c in ("counts", "lows", "twice")), strict=True):
-            low = np.frombuffer(lows, dtype="<u2").astype(np.uint32)
-            keys.append(np.repeat(np.arange(SUB, dtype=np.uint32), np.frombuffer(counts, dtype="<u4")) << np.uint32(16) | low)
-            twice.append(np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=len(low)).astype(bool))
-            sizes.append(len(low))
-        key = np.concatenate(keys)
-        ordered = np.sort(key)
-        often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        again = np.concatenate(twice)
-        if len(often):
-            again |= often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(again[e - k : e]).tobytes() for e, k in zip(ends, sizes, strict=True)]
-        return _replies(table, level, bits)
-
-    return reduce
-
-
-def _first_bits(level: int):
-    def reduce(table: pa.Table) -> pa.Table:
-        """Which block has the first window of each kind (smallest doc_id, then block), as a bit per entry of each block."""
-        hashes, ids, null, blocks, sizes = [], [], [], [], []
-        for block, h, which, names in zip(*(table.column(c).to_pylist() for c in ("block", "hashes", "which", "ids")), strict=True):
-            hashes.append(np.frombuffer(h, dtype="<u8"))
-            own = np.frombuffer(names, dtype="<i8").reshape(2, -1)[:, np.frombuffer(which, dtype="<u4")]
-            null.append(own[0])
-            ids.append(own[1])
-            sizes.append(own.shape[1])
-            blocks.append(np.full(own.shape[1], block))
-        h, key = np.concatenate(hashes), np.concatenate(ids)
-        order = np.lexsort((np.concatenate(blocks), key, np.concatenate(null), h))
-        first = np.zeros(len(h), dtype=bool)
-        first[order] = np.append(True, h[order][1:] != h[order][:-1])
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(first[e - k : e]).tobytes() for e, k in zip(ends, sizes, strict=True)]
-        return _replies(table, level, bits)
-
-    return reduce
-
-
-def _full_entries(block: Block, level: int, shorter: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the full length: where they begin, which entry each is; of the distinct ones (by bucket and hash) bucket, hash and first place."""
-    at, one, two = block.candidates(level, shorter)
-    bucket = _bucket(two, n)
-    order = np.lexsort((at, one, bucket))
-    new = np.append(True, (one[order][1:] != one[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])) if len(order) else np.zeros(0, bool)
-    which = np.empty(len(order), dtype=np.int64)
-    which[order] = np.cumsum(new) - 1
-    firsts = order[new]
-    return at, which, bucket[firsts], one[firsts], at[firsts]
-
-
-def _exact(name: int, block: Block, level: int, shorter: np.ndarray | None, n: int) -> Iterator[dict]:
-    _, _, buckets, hashes, places = _full_entries(block, level, shorter, n)
-    docs = np.searchsorted(block.bounds, places, side="right") - 1
-    for b, lo, hi in _runs(buckets):
-        own, which = np.unique(docs[lo:hi], return_inverse=True)
-        keys = [block.keys[i] for i in own]
-        yield {
-            "block": name, "bucket": b, "digest": block.digest, "hashes": hashes[lo:hi].astype("<u8").tobytes(), "which": which.astype("<u4").tobytes(),
-            "ids": np.array([[k is not None for k in keys], [k or 0 for k in keys]], dtype="<i8").tobytes(),
-        }
-
-
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=schema)
-
-
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ddl.split(", ")])
-
-
-def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_windows: int = BUCKET_WINDOWS, carry: list[str] | None = None) -> DataFrame:
+        self.levels = levels
+        ok, self.one = window_hashes(self.words, self.bounds, levels[-1])
+        #: Where the windows of full length begin.
+        self.at = np.flatnonzero(ok)
+
+    def hashes(self, level: int) -> np.ndarray:
+        """A hash of the window of `level` words that begins at each word (0 where none does)."""
+        ok, own = window_hashes(self.words, self.bounds, level)
+        out = np.zeros(len(self.words), dtype=np.uint64)
+        out[ok] = own
+        return out
+
+    def places(self, level: int) -> np.ndarray:
+        """Where the window of `level` words begins that stands for each full one.
+
+        At the first level it is the one of least hash among those within the full window: equal windows choose alike, and
+        neighbours mostly share their choice. At each next level it is the same one with twice its length, moved to the
+        left as far as it needs to end within the full window.
+        """
+        full = self.levels[-1]
+        if level == full or not len(self.at):
+            return self.at
+        first = self.levels[0]
+        place = leftmost_least(self.hashes(first), full - first + 1)[self.at]
+        for longer in self.levels[1:]:
+            if longer > level:
+                break
+            place = np.minimum(place, self.at + full - longer)
+        return place
+
+    def candidates(self, level: int, again: np.ndarray | None) -> np.ndarray:
+        """Which full windows are looked at on `level`: those whose window of half that length is among `again` (all on the first level)."""
+        if again is None:
+            return np.ones(len(self.at), dtype=bool)
+        half = self.levels[self.levels.index(level) - 1]
+        return np.isin(self.hashes(half)[self.places(half)], again)
+
+    def distinct(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen full windows: the order of first places, both hashes, and for each window its place in that order."""
+        at, one = self.at[chosen], self.one[chosen]
+        two = window_hashes(self.words, self.bounds, self.levels[-1], WORD_MULT_2)[1][chosen]
+        order = np.lexsort((at, two, one))
+        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])) if len(order) else np.zeros(0, bool)
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        return order[new], np.stack([one, two], axis=1).view(np.int64), which
+
+
+def short_rows(name: int, block: Block, level: int, again: np.ndarray | None) -> pa.Table:
+    """The distinct short windows of a map group, and whether it holds each more than once (many is 2 then)."""
+    place = np.unique(block.places(level)[block.candidates(level, again)])
+    key, many = np.unique(block.hashes(level)[place], return_counts=True)
+    return pa.table([np.full(len(key), name), key.view(np.int64), np.minimum(many, 2).astype(np.int32)], schema=_arrow(SHORT))
+
+
+def full_rows(name: int, block: Block, again: np.ndarray | None) -> pa.Table:
+    """The distinct full windows of a map group by two hashes, with the doc_id of the first document of each."""
+    chosen = block.candidates(block.levels[-1], again)
+    firsts, pair, _ = block.distinct(chosen)
+    docs = np.searchsorted(block.bounds, block.at[chosen][firsts], side="right") - 1
+    ids = pa.array(block.keys, pa.int64()).take(pa.array(docs))
+    return pa.table([np.full(len(firsts), name), np.ascontiguousarray(pair[firsts, 0]), np.ascontiguousarray(pair[firsts, 1]), ids], schema=_arrow(FULL))
+
+
+def kept_rows(block: Block, later: np.ndarray, whole: bool) -> pa.Table:
+    """What is left of each text; later: both hashes of full windows that begin in an earlier map group."""
+    firsts, pair, which = block.distinct(np.ones(len(block.at), dtype=bool))
+    first = np.zeros(len(block.at), dtype=bool)
+    first[firsts] = True
+    if len(later):
+        names = np.ascontiguousarray(pair[firsts]).view([("one", "<i8"), ("two", "<i8")]).ravel()
+        first &= ~np.isin(names, np.ascontiguousarray(later).view(names.dtype).ravel())[which]
+    gone_at, size, full = block.at[~first], len(block.words) + 1, block.levels[-1]
+    gone = np.cumsum(np.bincount(gone_at, minlength=size) - np.bincount(gone_at + full, minlength=size))[:-1] > 0
+    rows = []
+    for i, text in enumerate(block.texts):
+        own = gone[block.bounds[i] : block.bounds[i + 1]]
+        words, lost = (text or b"").split(), int(own.sum())
+        kept = b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g] if lost else words)
+        rows.append({
+            "row": int(block.rows[i]), "doc_id": block.keys[i], "n_words": len(own), "n_removed": lost,
+            "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if lost else text.decode() if whole and text is not None else None,
+        })
+    return pa.Table.from_pylist(rows, schema=_arrow(KEPT))
+
+
+def kept_words(docs: DataFrame, window: int = 20, start: int = 5, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """For each row of `docs` (doc_id, text) the text without repeated passages; a row number says which row is meant.
 
-    Returns row (of `numbered`), doc_id, n_words, n_removed, kept (the words that stay, joined by a space; null where nothing
-    is removed) and kept_sha256 (of those words, always). With `carry`, columns of docs, these come along as a struct doc, and
-    kept is the whole text, as it was where nothing is removed: the texts needn't meet the result in another shuffle. A word goes if it lies in a window of `window` words whose sequence also starts earlier: in a
-    smaller doc_id (null before all), or earlier in the same document.
+    Returns row (in the order of reading), doc_id, n_words, n_removed, kept (the words that stay, joined by a space; null
+    where nothing is removed) and kept_sha256 (of those words, always). With `carry`, columns of docs, these come along as a
+    struct doc, and kept is the whole text, as it was where nothing is removed. A word goes if it lies in a window of
+    `window` words whose sequence also starts earlier: in a smaller doc_id (null before all), or earlier in the same document.
 
-    Windows of `start` words that repeat alone are extended to twice that length, until that is `window` or none is left;
-    window / start must be a power of two. A map group is 2^BLOCK_BITS rows that are read together. For a short level it
-    sends the distinct keys of its windows as 3-byte sketches to the buckets, and gets back a bit for each: seen again or
-    not. A sketch may take a window for a repeated one, never the reverse. At the full length, hashes (64 bits and the
-    bucket's) with the first document of each are sent, and the bit that comes back says whether the map group has the
-    first of all. A passage that thousands of documents share is one entry in each map group, so no bucket grows hot.
+    Each full window is looked for by a window of `start` words within it, the one of least hash. Where that repeats in
+    the corpus, it is extended to twice its length, and so on until it is the full window or none is left; window / start
+    must be a power of two. Map groups are consecutive texts of about `block_bytes`, written once as a table bucketed by
+    group, so that no level shuffles texts. A group sends each of its distinct short windows as a row of a key and a count,
+    and gets back the keys that repeat: rows and bytes a window don't depend on the size of the corpus. Full windows are
+    told by two 64-bit hashes; those come back that an earlier group has too. A passage that thousands of documents share is one row
+    in each map group that has it, so a key has at most one row a group.
 
     Null text: no words. Rows with the same doc_id count as one document after another, in the order of their rows. No
     rows: no rows. Fewer words than the window: nothing is removed. Other columns are ignored.
@@ -232,65 +158,65 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 10, bucket_window
     levels = [start << k for k in range(64) if start << k <= window]
     if levels[-1:] != [window]:
         raise ValueError("window must be start, doubled some times")
-    slim = numbered(docs)
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // (6 * bucket_windows)))
-    masks: DataFrame | None = None
-    done: list[int] = []
-
-    def climbing(reply, schema: str, source: DataFrame = slim):
-        """Runs reply(name, block, repeated windows of the last level) over the map groups, with the bits of the levels done."""
-        so_far, arrow = list(done), _arrow(schema)
-        carries = "doc" in source.columns
-
-        def whole(name: int, text: pa.Table, bits: pa.Table | None) -> pa.Table:
-            block = Block(text)
-            found = _masks(bits, block.digest) if bits is not None else {}
-            out = _batch(list(reply(name, block, _climb(block, so_far, found, n) if so_far else None, found)), arrow)
-            return out.append_column("doc", text.column("doc").take(pa.array(block.order, pa.int64()))) if carries else out
-
-        if masks is None:
-
-            def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for name, text in _by_block(batches, lambda b: np.asarray(b.column("row")) >> BLOCK_BITS):
-                    yield from whole(name, text, None).to_batches()
-
-            return slim.mapInArrow(stream, schema)
-
-        def grouped(key: tuple, text: pa.Table, bits: pa.Table) -> pa.Table:
-            return whole(key[0].as_py(), text, bits)
-
-        left = source.withColumn("block", F.shiftright("row", BLOCK_BITS))
-        out = _parse_datatype_string(schema).add("doc", source.schema["doc"].dataType) if carries else schema
-        return left.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(grouped, out)
-
-    for level in levels:
-        full = level == window
-        make = _exact if full else _sketches
-        sent = climbing(lambda name, block, again, _, make=make, level=level: make(name, block, level, again, n), EXACT if full else SKETCHES)
-        bits = written(sent.groupBy("bucket").applyInArrow((_first_bits if full else _sketch_bits)(level), MASKS))
-        masks = bits if masks is None else masks.unionByName(bits)
-        if not full:
-            done.append(level)
-
-    def finish(name: int, block: Block, again: np.ndarray | None, found: dict) -> Iterator[dict]:
-        at, which, buckets, _, places = _full_entries(block, window, again, n)
-        first = _flags(buckets, found.get(window, {}))[which] & (places[which] == at)
-        later, size = at[~first], len(block.words) + 1
-        gone = np.cumsum(np.bincount(later, minlength=size) - np.bincount(later + window, minlength=size))[:-1] > 0
-        for i, text in enumerate(block.texts):
-            own = gone[block.bounds[i] : block.bounds[i + 1]]
-            words, lost = (text or b"").split(), int(own.sum())
-            kept = b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g] if lost else words)
-            yield {
-                "row": int(block.rows[i]), "doc_id": block.keys[i], "n_words": len(own), "n_removed": lost,
-                "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if lost else text.decode() if carry and text is not None else None,
-            }
-
-    return climbing(finish, KEPT, numbered(docs, carry) if carry else slim)
-
-
-def numbered(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """row, doc_id, text, and a struct doc of other columns. row numbers the rows as they are read; the table must give the same rows each time, as files do."""
+    table = bucketed(in_blocks(docs, block_bytes, carry), "block")
+    slim = table.select("block", "row", "doc_id", "text")
+
+    def over_groups(reply: Callable, ddl: str, again: DataFrame | None, source: DataFrame = slim) -> DataFrame:
+        """Runs reply(name, table of texts, table of keys that came back or None) over the map groups."""
+        schema = _parse_datatype_string(ddl)
+        if "doc" in source.columns:
+            schema = schema.add("doc", source.schema["doc"].dataType)
+        if again is None:
+            return source.groupBy("block").applyInArrow(lambda key, text: reply(key[0].as_py(), text, None), schema)
+        return source.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lambda key, text, back: reply(key[0].as_py(), text, back), schema)
+
+    again: DataFrame | None = None
+    for level in levels[:-1]:
+
+        def short(name: int, text: pa.Table, back: pa.Table | None, level: int = level) -> pa.Table:
+            if back is not None and not back.num_rows:
+                return _arrow(SHORT).empty_table()
+            return short_rows(name, Block(text, levels), level, None if back is None else np.asarray(back.column("key")).view(np.uint64))
+
+        seen = over_groups(short, SHORT, again).withColumn("n", F.sum("many").over(Window.partitionBy("key")))
+        again = seen.where("n > 1").select("block", "key")
+
+    def full(name: int, text: pa.Table, back: pa.Table | None) -> pa.Table:
+        if back is not None and not back.num_rows:
+            return _arrow(FULL).empty_table()
+        return full_rows(name, Block(text, levels), None if back is None else np.asarray(back.column("key")).view(np.uint64))
+
+    order = Window.partitionBy("one", "two").orderBy(F.col("doc_id").asc_nulls_first(), "block")
+    later = over_groups(full, FULL, again).withColumn("n", F.row_number().over(order)).where("n > 1").select("block", "one", "two")
+
+    def finish(name: int, text: pa.Table, back: pa.Table) -> pa.Table:
+        block = Block(text, levels)
+        found = np.stack([np.asarray(back.column("one")), np.asarray(back.column("two"))], axis=1)
+        out = kept_rows(block, found, bool(carry))
+        return out.append_column("doc", text.column("doc").take(pa.array(block.order, pa.int64()))) if carry else out
+
+    return over_groups(finish, KEPT, later, table if carry else slim)
+
+
+def in_blocks(docs: DataFrame, block_bytes: int, carry: list[str] | None = None) -> DataFrame:
+    """block, row, doc_id, text, and a struct doc of the columns `carry`. row numbers the rows as they are read; block is its group's first row."""
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, 0
+        for batch in batches:
+            row = np.asarray(batch.column("row"))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64) + ROW_BYTES
+            block, lo = np.empty(len(row), dtype=np.int64), 0
+            while lo < len(row):
+                if now is None or held >= block_bytes:
+                    now, held = row[lo], 0
+                total = np.cumsum(sizes[lo:])
+                hi = min(len(row), lo + int(np.searchsorted(total, block_bytes - held)) + 1)
+                block[lo:hi] = now
+                held += int(total[hi - lo - 1])
+                lo = hi
+            yield batch.set_column(0, "block", pa.array(block))
+
+    return rows.mapInArrow(cut, rows.schema)
