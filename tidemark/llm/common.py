@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: A table may be broadcast when it has at most this many rows (each a few dozen bytes wide).
 BROADCAST_ROWS = 100_000
-#: Bytes of a bucket, by estimate.
-BUCKET_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -39,17 +37,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bytes(setting: str) -> int:
+    """A size as Spark's settings have it, such as 16m or 134217728b."""
+    digits = setting.lower().rstrip("bkmgt")
+    unit = setting.lower()[len(digits) :].rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """df written once to the shared folder as a table bucketed by `key`: groups by that key read it without another shuffle.
 
-    The number of buckets follows from Catalyst's estimate of the size, without a pass over the rows, and sets no result.
+    A bucket has about spark.sql.files.maxPartitionBytes by Catalyst's estimate of the size, which takes no pass over the
+    rows; the number of buckets sets no result.
     """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     n = 2 * spark.sparkContext.defaultParallelism
     if size < 1 << 60:  # beyond that it isn't known
-        n = min(most, max(n, -(-size // BUCKET_BYTES)))
+        n = min(most, max(n, -(-size // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))))
     name, path = f"tidemark_{uuid.uuid4().hex}", f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)

@@ -19,7 +19,7 @@ from tidemark.llm.words import WORD_MULT_2, window_hashes, word_hashes
 BLOCK_BYTES, ROW_BYTES = 4 << 20, 16
 
 SHORT = "block long, key long, many int"
-FULL = "block long, one long, two long, doc_id long"
+FULL = "block long, one long, two long, doc_id long, place long"
 KEPT = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -65,20 +65,12 @@ class Block:
     def places(self, level: int) -> np.ndarray:
         """Where the window of `level` words begins that stands for each full one.
 
-        At the first level it is the one of least hash among those within the full window: equal windows choose alike, and
-        neighbours mostly share their choice. At each next level it is the same one with twice its length, moved to the
-        left as far as it needs to end within the full window.
+        It is the place of the least hash of the first level among those where half of the full length still fits in:
+        equal windows choose alike, neighbours mostly share their choice, and each level doubles the same window.
         """
-        full = self.levels[-1]
-        if level == full or not len(self.at):
+        if level == self.levels[-1] or not len(self.at):
             return self.at
-        first = self.levels[0]
-        place = leftmost_least(self.hashes(first), full - first + 1)[self.at]
-        for longer in self.levels[1:]:
-            if longer > level:
-                break
-            place = np.minimum(place, self.at + full - longer)
-        return place
+        return leftmost_least(self.hashes(self.levels[0]), self.levels[-1] // 2 + 1)[self.at]
 
     def candidates(self, level: int, again: np.ndarray | None) -> np.ndarray:
         """Which full windows are looked at on `level`: those whose window of half that length is among `again` (all on the first level)."""
@@ -87,15 +79,19 @@ class Block:
         half = self.levels[self.levels.index(level) - 1]
         return np.isin(self.hashes(half)[self.places(half)], again)
 
-    def distinct(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the chosen full windows: the order of first places, both hashes, and for each window its place in that order."""
-        at, one = self.at[chosen], self.one[chosen]
-        two = window_hashes(self.words, self.bounds, self.levels[-1], WORD_MULT_2)[1][chosen]
-        order = np.lexsort((at, two, one))
-        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])) if len(order) else np.zeros(0, bool)
-        which = np.empty(len(order), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        return order[new], np.stack([one, two], axis=1).view(np.int64), which
+    def distinct(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the chosen full windows, in the order of one hash: their numbers, and which begin a run of equal ones (its first place)."""
+        one, two = self.one[chosen], self.two()[chosen]
+        order = np.argsort(one, kind="stable")
+        same, other = one[order][1:] == one[order][:-1], two[order][1:] != two[order][:-1]
+        if (same & other).any():  # windows that only the second hash tells apart
+            order = np.lexsort((two, one))
+            same, other = one[order][1:] == one[order][:-1], two[order][1:] != two[order][:-1]
+        return order, np.append(True, ~same | other)[: len(order)]
+
+    def two(self) -> np.ndarray:
+        """The second hash of each full window."""
+        return window_hashes(self.words, self.bounds, self.levels[-1], WORD_MULT_2)[1]
 
 
 def short_rows(name: int, block: Block, level: int, again: np.ndarray | None) -> pa.Table:
@@ -106,22 +102,23 @@ def short_rows(name: int, block: Block, level: int, again: np.ndarray | None) ->
 
 
 def full_rows(name: int, block: Block, again: np.ndarray | None) -> pa.Table:
-    """The distinct full windows of a map group by two hashes, with the doc_id of the first document of each."""
-    chosen = block.candidates(block.levels[-1], again)
-    firsts, pair, _ = block.distinct(chosen)
-    docs = np.searchsorted(block.bounds, block.at[chosen][firsts], side="right") - 1
-    ids = pa.array(block.keys, pa.int64()).take(pa.array(docs))
-    return pa.table([np.full(len(firsts), name), np.ascontiguousarray(pair[firsts, 0]), np.ascontiguousarray(pair[firsts, 1]), ids], schema=_arrow(FULL))
+    """The distinct full windows of a map group by two hashes, with the doc_id of the first document of each and its place in the group."""
+    chosen = np.flatnonzero(block.candidates(block.levels[-1], again))
+    order, new = block.distinct(chosen)
+    firsts = np.sort(chosen[order[new]])
+    places = block.at[firsts]
+    ids = pa.array(block.keys, pa.int64()).take(pa.array(np.searchsorted(block.bounds, places, side="right") - 1))
+    return pa.table([np.full(len(firsts), name), block.one[firsts].view(np.int64), block.two()[firsts].view(np.int64), ids, places], schema=_arrow(FULL))
 
 
 def kept_rows(block: Block, later: np.ndarray, whole: bool) -> pa.Table:
-    """What is left of each text; later: both hashes of full windows that begin in an earlier map group."""
-    firsts, pair, which = block.distinct(np.ones(len(block.at), dtype=bool))
+    """What is left of each text; later: first places in this group of the full windows that an earlier one has too."""
+    order, new = block.distinct(np.arange(len(block.at)))
+    known = np.zeros(len(block.words) + 1, dtype=bool)
+    known[later] = True
     first = np.zeros(len(block.at), dtype=bool)
-    first[firsts] = True
-    if len(later):
-        names = np.ascontiguousarray(pair[firsts]).view([("one", "<i8"), ("two", "<i8")]).ravel()
-        first &= ~np.isin(names, np.ascontiguousarray(later).view(names.dtype).ravel())[which]
+    first[order] = new
+    first &= ~known[block.at]
     gone_at, size, full = block.at[~first], len(block.words) + 1, block.levels[-1]
     gone = np.cumsum(np.bincount(gone_at, minlength=size) - np.bincount(gone_at + full, minlength=size))[:-1] > 0
     rows = []
@@ -145,11 +142,11 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 5, block_bytes: i
     `window` words whose sequence also starts earlier: in a smaller doc_id (null before all), or earlier in the same document.
 
     Each full window is looked for by a window of `start` words within it, the one of least hash. Where that repeats in
-    the corpus, it is extended to twice its length, and so on until it is the full window or none is left; window / start
-    must be a power of two. Map groups are consecutive texts of about `block_bytes`, written once as a table bucketed by
+    the corpus, it is extended to twice its length, and so on until it is half of the full window, the full window, or none
+    is left; window / start must be a power of two. Map groups are consecutive texts of about `block_bytes`, written once as a table bucketed by
     group, so that no level shuffles texts. A group sends each of its distinct short windows as a row of a key and a count,
     and gets back the keys that repeat: rows and bytes a window don't depend on the size of the corpus. Full windows are
-    told by two 64-bit hashes; those come back that an earlier group has too. A passage that thousands of documents share is one row
+    told by two 64-bit hashes; the places of those come back that an earlier group has too. A passage that thousands of documents share is one row
     in each map group that has it, so a key has at most one row a group.
 
     Null text: no words. Rows with the same doc_id count as one document after another, in the order of their rows. No
@@ -187,12 +184,11 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 5, block_bytes: i
         return full_rows(name, Block(text, levels), None if back is None else np.asarray(back.column("key")).view(np.uint64))
 
     order = Window.partitionBy("one", "two").orderBy(F.col("doc_id").asc_nulls_first(), "block")
-    later = over_groups(full, FULL, again).withColumn("n", F.row_number().over(order)).where("n > 1").select("block", "one", "two")
+    later = over_groups(full, FULL, again).withColumn("n", F.row_number().over(order)).where("n > 1").select("block", "place")
 
     def finish(name: int, text: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(text, levels)
-        found = np.stack([np.asarray(back.column("one")), np.asarray(back.column("two"))], axis=1)
-        out = kept_rows(block, found, bool(carry))
+        out = kept_rows(block, np.asarray(back.column("place")), bool(carry))
         return out.append_column("doc", text.column("doc").take(pa.array(block.order, pa.int64()))) if carry else out
 
     return over_groups(finish, KEPT, later, table if carry else slim)
