@@ -44,14 +44,14 @@ def _bytes(setting: str) -> int:
     return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, like: DataFrame) -> DataFrame:
     """df written once to the shared folder as a table bucketed by `key`: groups by that key read it without another shuffle.
 
-    A bucket has about spark.sql.files.maxPartitionBytes by Catalyst's estimate of the size, which takes no pass over the
-    rows; the number of buckets sets no result.
+    A bucket has about spark.sql.files.maxPartitionBytes by Catalyst's estimate of the size of `like`, which takes no pass
+    over the rows; the number of buckets sets no result.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     n = 2 * spark.sparkContext.defaultParallelism
     if size < 1 << 60:  # beyond that it isn't known

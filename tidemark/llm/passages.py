@@ -155,7 +155,7 @@ def kept_words(docs: DataFrame, window: int = 20, start: int = 5, block_bytes: i
     levels = [start << k for k in range(64) if start << k <= window]
     if levels[-1:] != [window]:
         raise ValueError("window must be start, doubled some times")
-    table = bucketed(in_blocks(docs, block_bytes, carry), "block")
+    table = bucketed(in_blocks(docs, block_bytes, carry), "block", docs)
     slim = table.select("block", "row", "doc_id", "text")
 
     def over_groups(reply: Callable, ddl: str, again: DataFrame | None, source: DataFrame = slim) -> DataFrame:
