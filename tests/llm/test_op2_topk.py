@@ -14,7 +14,7 @@ def brute(rows, every, k):
     ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in ok if i % every == 0}):
-        found = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, w)))), i) for j, v in ok if j == q for i, w in ok if i != q and len(w) == len(v))
+        found = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, w)))), i) for v in {tuple(x) for j, x in ok if j == q} for i, w in ok if i != q and len(w) == len(v))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return out
 
@@ -44,6 +44,17 @@ def test_pieces():
     rng = np.random.default_rng(0)
     a = rng.integers(-(2**40), 2**40, (3, 5)).astype(float)
     assert products(a, a).tolist() == [[max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(p, q)))) for q in a] for p in a]
-    for n in (1, 5, 30, 1000):
-        scores, ids = rng.integers(0, 4, n), rng.permutation(n)
-        assert best(scores, ids, 5).tolist() == sorted(range(n), key=lambda i: (-scores[i], ids[i]))[:5]
+    for n in (0, 1, 5, 30, 1000):
+        scores, ids, names = rng.integers(0, 4, (7, n)), np.sort(rng.integers(0, 2 * n + 1, n)), rng.integers(0, 2 * n + 1, 7)
+        want = [(r, c) for r in range(7) for c in sorted((c for c in range(n) if ids[c] != names[r]), key=lambda c: (-scores[r, c], ids[c], c))[:5]]
+        assert list(zip(*(x.tolist() for x in best(scores.copy(), ids, names, 5)))) == want
+
+
+def test_repeated_queries_and_sums_beyond_53_bits(spark):
+    """A query row that is there twice asks once; scores that differ only beyond double precision are told apart."""
+    rows = [(50, [1.0, 2.0**-8]), (50, [1.0, 2.0**-8]), *[(i, [0.25 * i, 0.0]) for i in range(1, 9)]]
+    assert [r[2] for r in run(spark, rows, 50)] == [8, 7, 6, 5, 4]
+    assert run(spark, rows, 50) == brute(rows, 50, 5)
+    big = [(50, [2.0**22, 2.0**-8]), (1, [0.0, 3 * 2.0**-8]), (3, [2.0**22, 2.0**-8]), (5, [2.0**22, 0.0]), (7, [2.0**22, 2.0**-7])]
+    assert [r[2] for r in run(spark, big, 50)] == [7, 3, 5, 1]
+    assert run(spark, big, 50) == brute(big, 50, 5)

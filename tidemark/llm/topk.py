@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-#: Rows of a shard, queries of a block, and lists that one merge takes in.
-SHARD_ROWS, BLOCK_QUERIES, FAN = 4096, 2048, 16
+#: Rows of a shard and queries of a block, scores that a tile holds at once, and lists that one merge takes in.
+SHARD_ROWS, BLOCK_QUERIES, CELLS, FAN = 16_384, 16_384, 1 << 22, 16
+#: Shards aren't made smaller than this to keep all cores busy.
+LEAST_SHARD = 1024
+#: Whole numbers up to this are exact in single precision.
+SINGLE = 1 << 24
 LISTS = "query_id long, shard long, vec_id array<long>, score array<long>"
+_ARROW = {"query_id": pa.int64(), "shard": pa.int64(), "vec_id": pa.list_(pa.int64()), "score": pa.list_(pa.int64())}
 _LIMIT = 1 << 63
 
 
@@ -39,21 +44,25 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([[min(_LIMIT - 1, max(-_LIMIT, v)) for v in r] for r in out], dtype=np.int64).reshape(len(queries), len(rows))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores of one row, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        last = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= last)
-    else:
-        at = np.arange(len(scores))
-    if len(at) > 4 * k:  # many ties: of the last score only the smallest ids can count
-        tied = at[scores[at] == last]
-        at = np.concatenate([at[scores[at] > last], tied[np.argpartition(ids[tied], k - 1)[:k]] if len(tied) > k else tied])
-    return at[np.lexsort((ids[at], -scores[at].astype(np.float64) if len(at) and abs(int(scores[at[0]])) < 2**52 else _descending(scores[at])))][:k]
-
+def best(scores: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the k highest scores of each row, row by row, ties to the smaller id; a row leaves out the columns of its own name.
 
-def _descending(scores: np.ndarray) -> np.ndarray:
-    return ~scores  # -x - 1: descending without overflow
+    ids are sorted, so a smaller column is a smaller id.
+    """
+    lo, hi = np.searchsorted(ids, names), np.searchsorted(ids, names, side="right")
+    for i in np.flatnonzero(lo < hi):
+        scores[i, lo[i] : hi[i]] = -_LIMIT
+    n = scores.shape[1]
+    if n > k:
+        row, col = np.nonzero(scores >= np.partition(scores, n - k, axis=1)[:, n - k, None])
+    else:
+        row, col = np.divmod(np.arange(scores.size), max(n, 1))
+    other = ids[col] != names[row]
+    row, col = row[other], col[other]
+    order = np.lexsort((col, ~scores[row, col], row))  # ~x is -x - 1: descending without overflow
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], col[rank < k]
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -71,25 +80,31 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_row
     """
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding", scale).alias("x"), is_query.alias("asks")).where("x is not null and vec_id is not null")
     sound = written(sound.withColumn("dim", F.size("x")).withColumn("deal", F.xxhash64("vec_id", "x")))
-    sizes = sound.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"))
-    total = sizes.agg(F.sum("n"), F.sum("q")).first()
-    shards, blocks = (max(1, -(-(total[i] or 0) // per)) for i, per in ((0, shard_rows), (1, block_queries)))
-    rows = sound.select("dim", F.pmod("deal", F.lit(shards)).alias("shard"), "vec_id", "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    total = sound.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("x", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()
+    most = 2 * sound.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-total[0] // shard_rows), min(most, total[0] // min(LEAST_SHARD, shard_rows)))
+    blocks = max(1, -(-total[1] // block_queries))
+    slim = F.col("x").cast("array<float>" if (total[2] or 0) <= SINGLE else "array<double>")
+    rows = sound.select("dim", F.pmod("deal", F.lit(shards)).alias("shard"), "vec_id", slim.alias("x")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     # Both sides of a cogroup need columns of their own.
-    asked = sound.where("asks").select(F.col("dim").alias("q_dim"), F.pmod("deal", F.lit(blocks)).alias("q_block"), F.col("vec_id").alias("q_id"), F.col("x").alias("q")).withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
+    asked = sound.where("asks").select(F.col("dim").alias("q_dim"), F.pmod("deal", F.lit(blocks)).alias("q_block"), F.col("vec_id").alias("q_id"), slim.alias("q")).distinct()
+    asked = asked.withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
 
     def tile(key: tuple, queries: pa.Table, table: pa.Table) -> pa.Table:
         dim, shard = key[0].as_py(), key[1].as_py()
-        out: dict[str, list] = {"query_id": [], "shard": [], "vec_id": [], "score": []}
+        parts = [pa.table({c: pa.array([], t) for c, t in _ARROW.items()})]
         if queries.num_rows and table.num_rows:
             names, ids = np.asarray(queries.column("q_id")), np.asarray(table.column("vec_id"))
-            scores = products(_matrix(queries.column("q"), dim), _matrix(table.column("x"), dim))
-            for name, own in zip(names.tolist(), scores, strict=True):
-                other = np.flatnonzero(ids != name)
-                at = other[best(own[other], ids[other], k)] if len(other) < len(ids) else best(own, ids, k)
-                for c, v in zip(out, (name, shard, ids[at].tolist(), own[at].tolist()), strict=True):
-                    out[c].append(v)
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)})
+            order = np.argsort(ids, kind="stable")
+            ids, x, q = ids[order], _matrix(table.column("x"), dim)[order], _matrix(queries.column("q"), dim)
+            step = max(1, CELLS // len(ids))
+            for at in range(0, len(names), step):
+                own, name = products(q[at : at + step], x), names[at : at + step]
+                row, col = best(own, ids, name, k)
+                ends = pa.array(np.searchsorted(row, np.arange(len(name) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (ids[col], own[row, col])]
+                parts.append(pa.table([pa.array(name), pa.array(np.full(len(name), shard)), *lists], names=list(_ARROW)))
+        return pa.concat_tables(parts)
 
     keys = ["dim", "shard", "block"]
     lists = asked.groupBy("q_dim", "q_shard", "q_block").cogroup(rows.groupBy(*keys)).applyInArrow(tile, LISTS)
