@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of the letters of a text."""
+"""Hashed character n-grams of the letters of a text."""
 
 from __future__ import annotations
 
@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 #: ASCII other than letters becomes a space; bytes of other code points count as letters.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _POWERS, _FINAL = np.cumprod(np.full(32, 0x01000193, dtype=np.uint32), dtype=np.uint32), np.uint32(0x9E3779B1)
-#: Bytes hashed at once.
+#: Characters hashed at once.
 CHUNK = 1 << 20
 
 
 def letters(text: str | None) -> np.ndarray:
-    """The text in lower case with a space at either end and one between the words, as bytes."""
+    """The text in lower case with a space at either end and one between the words, as code points."""
     words = (text or "").lower().encode().translate(_LETTERS).split()
-    return np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8) if words else np.zeros(0, dtype=np.uint8)
+    return np.frombuffer(f" {b' '.join(words).decode()} ".encode("utf-32-le"), dtype="<u4") if words else np.zeros(0, dtype=np.uint32)
 
 
 def grams(data: np.ndarray, sizes: range, bits: int) -> Iterator[np.ndarray]:
@@ -46,16 +46,15 @@ def counted(data: np.ndarray, sizes: range, bits: int) -> tuple[np.ndarray, np.n
 
 
 def summed(vectors: DataFrame, fan: int = 64) -> np.ndarray | None:
-    """The sum of `vectors` (part long, v binary of int64), added up as a tree of fan-in `fan`; the driver gets its root."""
+    """The sum of `vectors` (part long, v binary of int64), added up as a tree of fan-in `fan`; the driver gets one row."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v, dtype="<i8") for v in table.column("v").to_pylist())
+        total = sum(np.frombuffer(v.as_buffer(), dtype="<i8") for v in table.column("v"))
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
 
-    most = vectors.sparkSession.sparkContext.defaultParallelism
-    most = max(most, vectors.rdd.getNumPartitions())
-    while most > fan:
+    most = max(2, vectors.rdd.getNumPartitions())
+    while most > 1:
         vectors = vectors.withColumn("part", F.expr(f"part div {fan}")).groupBy("part").applyInArrow(add, "part long, v binary")
         most = -(-most // fan)
-    rows = vectors.collect()
-    return sum(np.frombuffer(r.v, dtype="<i8") for r in rows) if rows else None
+    row = vectors.first()
+    return np.frombuffer(row.v, dtype="<i8") if row else None
