@@ -9,111 +9,216 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import small, written
 from tidemark.llm.langid import held_out
-from tidemark.llm.ngrams import grams, letters
+from tidemark.llm.ngrams import summed
+from tidemark.llm.words import word_hashes
 
-#: Terms are byte n-grams of these lengths over the letters and spaces of a text; they are hashed to 2^BITS and selected from there.
-SIZES, BITS = range(4, 9), 20
-#: Terms selected, labelled examples at most, neighbours that vote, examples with a term at least.
-TERMS, EXAMPLES, NEIGHBOURS, SUPPORT = 2048, 20_000, 15, 4
-#: Groups of equal vectors in a block of the index; blocks that are scored first.
-BLOCK, FIRST = 64, 4
-#: Weight of the prior among the votes.
-PRIOR = 0.2
-_COUNTS = "part long, v binary"
+#: Labelled examples at most, neighbours that vote, and the weight of the prior among the votes.
+EXAMPLES, NEIGHBOURS, PRIOR = 10_000, 15, 0.2
+#: Weight of a term that tells nothing about labels, and the significance from which terms weigh more.
+LIGHT, SURE = 0.02, 3.0
+#: Groups of equal examples in a block, blocks of each text that are scored first, texts that are scored together.
+BLOCK, FIRST, TOGETHER = 256, 4, 64
+#: Terms in one group of so many or more are frequent, as many as fit in so many bytes: their lists are held dense.
+FREQUENT, DENSE_BYTES = 16, 128 << 20
+#: Bytes of text whose words are hashed at once, and a slack for rounding when cosines are compared.
+CHUNK, SLACK = 4 << 20, 1e-9
+
+#: ASCII other than letters separates words; bytes of other code points count as letters.
+_GAP = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
+_VECTOR = "doc_id long, toxic int, half int, terms binary, counts binary"
+
+
+def term_counts(texts: list[str | None], vocabulary: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of pieces of `texts`: text numbers, terms and counts, sorted by both, and the number of texts.
+
+    A term is a word's 64-bit hash, or its place in the sorted `vocabulary`, which leaves out others.
+    """
+    lo = 0
+    while lo < len(texts):
+        hi, size, data = lo, 0, []
+        while hi < len(texts) and (hi == lo or size < CHUNK):
+            data.append((texts[hi] or "").lower().encode())
+            size += len(data[-1])
+            hi += 1
+        words, bounds = word_hashes(data, _GAP)
+        own = np.repeat(np.arange(hi - lo), np.diff(bounds))
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
+            known = vocabulary[at] == words if len(vocabulary) else np.zeros(len(words), bool)
+            key, n = np.unique(own[known] * len(vocabulary) + at[known], return_counts=True)
+            yield *np.divmod(key, max(1, len(vocabulary))), n, hi - lo
+        else:
+            order = np.lexsort((words, own))
+            words, own = words[order], own[order]
+            new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (own[1:] != own[:-1]))[: len(words)])
+            yield own[new], words[new], np.diff(np.append(new, len(words))), hi - lo
+        lo = hi
+
+
+def unit(row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """x divided by the length of its row."""
+    return x / np.sqrt(np.bincount(row, x * x, minlength=rows))[row]
 
 
 class Index:
     """Block-max inverted index over unit vectors of labelled examples.
 
     Equal vectors are one group with the number of its examples and of the toxic ones. Groups are numbered so that those
-    with the same strongest term are neighbours; each BLOCK of numbers has for each term its postings and their maximum.
+    with the same strongest frequent term are neighbours. Rare terms have lists of postings. Frequent terms have their
+    weights in blocks of BLOCK groups, each with its maxima.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ids: list[int], terms: int):
+    def __init__(self, row: np.ndarray, term: np.ndarray, n: np.ndarray, weights: np.ndarray, toxic: np.ndarray, ids: list[int]):
+        self.weights, rows = weights, len(ids)
+        ends = np.searchsorted(row, np.arange(rows + 1))
         groups: dict[bytes, list[int]] = {}
-        for i, (at, _) in enumerate(vectors):
-            groups.setdefault(at.tobytes() + vectors[i][1].tobytes(), []).append(i)
-        self.prior = (float(toxic.sum()) + 0.5) / (len(toxic) + 1)
+        for i in range(rows):
+            at = slice(ends[i], ends[i + 1])
+            groups.setdefault(term[at].tobytes() + n[at].tobytes(), []).append(i)
+        self.prior = (float(toxic.sum()) + 0.5) / (rows + 1)
         empty = groups.pop(b"", [])
         self.empty = (len(empty), float(toxic[empty].sum()), min((ids[i] for i in empty), default=None))
-        members = sorted(groups.values(), key=lambda g: (int(vectors[g[0]][0][np.argmax(vectors[g[0]][1])]), -float(vectors[g[0]][1].max()), ids[g[0]]))
-        self.of = {i: k for k, g in enumerate(members) for i in g}
-        self.many = np.array([len(g) for g in members], dtype=float)
-        self.toxic = np.array([toxic[g].sum() for g in members], dtype=float)
+        heads = np.array([g[0] for g in groups.values()], dtype=np.int64)
+        x = unit(row, self.weighted(term, n), rows)
+        chosen = np.isin(row, heads)
+        r, t, x = np.searchsorted(np.sort(heads), row[chosen]), term[chosen], x[chosen]
+        members = sorted(groups.values())
+        count = np.bincount(t, minlength=len(weights))
+        fits = DENSE_BYTES // (8 * max(1, len(members)))
+        by_count = np.argsort(-count, kind="stable")[:fits]
+        self.frequent = np.sort(by_count[count[by_count] * FREQUENT >= max(1, len(members))])
+        place = np.full(len(weights), -1)
+        place[self.frequent] = np.arange(len(self.frequent))
+        often = place[t] >= 0
+        strongest = np.full(len(members), -1)
+        order = np.lexsort((x[often], r[often]))
+        strongest[r[often][order]] = t[often][order]  # the last of a row stays
+        order = np.lexsort((np.arange(len(members)), strongest))
+        number = np.empty(len(members), dtype=np.int64)
+        number[order] = np.arange(len(members))
+        members = [members[i] for i in order]
+        self.of = np.full(rows, -1)
+        for k, g in enumerate(members):
+            self.of[g] = k
+        self.blocks = -(-len(members) // BLOCK)
+        size = self.blocks * BLOCK
+        self.many, self.toxic = np.zeros(size), np.zeros(size)
+        self.many[: len(members)] = [len(g) for g in members]
+        self.toxic[: len(members)] = [toxic[g].sum() for g in members]
         self.ids = [min(ids[i] for i in g) for g in members]
-        heads = [vectors[g[0]] for g in members]
-        term = np.concatenate([h[0] for h in heads]).astype(np.int64) if heads else np.zeros(0, np.int64)
-        weight = np.concatenate([h[1] for h in heads]) if heads else np.zeros(0)
-        group = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads]) if heads else np.zeros(0, np.int64)
-        order = np.lexsort((group, term))
-        self.group, self.weight, term = group[order], weight[order], term[order]
-        self.blocks = -(-len(heads) // BLOCK)
-        cell = term * self.blocks + self.group // BLOCK
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
-
-    def _score(self, at: np.ndarray, x: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
-        """Adds the products with the groups of `blocks`."""
-        cells = (at[:, None] * self.blocks + blocks).ravel()
-        lo = self.start[cells]
-        n = self.start[cells + 1] - lo
-        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        out += np.bincount(self.group[places], self.weight[places] * np.repeat(np.repeat(x, len(blocks)), n), minlength=len(out))
-
-    def vote(self, at: np.ndarray, x: np.ndarray, without: tuple[int, float] | None = None) -> tuple[float, int | None, float]:
-        """The share of toxic ones among the nearest examples, the nearest one's id and its cosine.
-
-        The first blocks give a bound for the cosine of the last neighbour; of the others only those are scored whose
-        maxima can reach it, so the neighbours are exact. All examples as near as the last one vote too. A vector
-        without terms has the examples without terms as neighbours. without: (group, toxic), an example to leave out.
+        dense = np.zeros((len(self.frequent), size))
+        dense[place[t[often]], number[r[often]]] = x[often]
+        self.dense = np.ascontiguousarray(dense.reshape(len(self.frequent), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.most = self.dense.max(axis=2, initial=0.0).T
+        self.place = place
+        t, g, x = t[~often], number[r[~often]], x[~often]
+        order = np.lexsort((g, t))
+        self.group, self.x = g[order].astype(np.int32), x[order]
+        self.start = np.searchsorted(t[order], np.arange(len(weights) + 1))
+
+    def weighted(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (1 + np.log(n)) * self.weights[term]
+
+    def votes(self, row: np.ndarray, term: np.ndarray, n: np.ndarray, rows: int, without: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[float, int | None, float]]:
+        """For each text the share of toxic ones among the nearest examples, the nearest one's id and its cosine.
+
+        row, term, n: the texts' terms, sorted by row. without: each text's own group, of which one example with its label is left out.
+        """
+        out = []
+        for lo in range(0, rows, TOGETHER):
+            hi = min(rows, lo + TOGETHER)
+            a, b = np.searchsorted(row, [lo, hi])
+            out += self._votes(row[a:b] - lo, term[a:b], n[a:b], hi - lo, None if without is None else without[lo:hi], None if label is None else label[lo:hi])
+        return out
+
+    def _votes(self, row, term, n, rows, without, label):
+        x = unit(row, self.weighted(term, n), rows)
+        has = np.bincount(row, minlength=rows) > 0
+        scores, least = self.nearest(row, term, x, rows, without)
+        out = []
+        for i in range(rows):
+            if not has[i]:
+                m, t, name = self.empty
+                m, t = (m, t) if without is None else (m - 1, t - float(label[i]))
+                out.append(((t + PRIOR * self.prior) / (m + PRIOR), name, 1.0 if m else 0.0))
+                continue
+            own = scores[i]
+            near = np.flatnonzero(own >= max(least[i] - SLACK, SLACK))
+            many, toxic = self.many[near], self.toxic[near]
+            if without is not None:
+                many, toxic = many - (near == without[i]), toxic - (near == without[i]) * label[i]
+            near, many, toxic = near[many > 0], many[many > 0], toxic[many > 0]
+            last = _last(own[near], many)
+            near, many, toxic = (v[own[near] >= last - SLACK] for v in (near, many, toxic))
+            if not len(near):
+                out.append((self.prior, None, 0.0))
+                continue
+            w = own[near] ** 2
+            best = near[np.argmax(own[near])]
+            out.append((float((w @ toxic + PRIOR * self.prior) / (w @ many + PRIOR)), self.ids[best], float(min(1.0, own[best]))))
+        return out
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, x: np.ndarray, rows: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with all groups that can be among the neighbours (-1 for others), and what the last neighbour has at least.
+
+        Rare terms are added from their lists. What frequent terms can add to a block at most follows from its maxima. The FIRST
+        blocks by that bound are scored whole and give a bound for the last neighbour; of the others only those are scored that can
+        reach it, so the neighbours are exact.
         """
-        if not len(at):
-            n, t, name = self.empty
-            if without:
-                n, t = n - 1, t - without[1]
-            return (t + PRIOR * self.prior) / (n + PRIOR), name, 1.0 if n else 0.0
+        size = self.blocks * BLOCK
         if not self.blocks:
-            return self.prior, None, 0.0
-        at = at.astype(np.int64)
-        bound = x @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(len(self.many))
-        many, toxic = self.many, self.toxic
-        if without:
-            many, toxic = many.copy(), toxic.copy()
-            many[without[0]] -= 1
-            toxic[without[0]] -= without[1]
-        done = order[:FIRST]
-        self._score(at, x, done, scores)
-        last = self._last(scores, many)
-        rest = order[FIRST:]
-        rest = rest[bound[rest] >= max(last - 1e-9, 1e-9)]
-        if len(rest):
-            self._score(at, x, rest, scores)
-            last = self._last(scores, many)
-        near = np.flatnonzero((scores >= max(last - 1e-9, 1e-9)) & (many > 0))
-        if not len(near):
-            return self.prior, None, 0.0
-        w = scores[near] ** 2
-        best = near[np.argmax(scores[near])]
-        return float((w @ toxic[near] + PRIOR * self.prior) / (w @ many[near] + PRIOR)), self.ids[best], float(min(1.0, scores[best]))
-
-    @staticmethod
-    def _last(scores: np.ndarray, many: np.ndarray) -> float:
-        """The cosine of the last of the neighbours (0 if there are fewer)."""
-        some = np.flatnonzero((scores > 0) & (many > 0))
-        order = some[np.argsort(-scores[some], kind="stable")]
-        k = int(np.searchsorted(np.cumsum(many[order]), NEIGHBOURS))
-        return float(scores[order[k]]) if k < len(order) else 0.0
-
-
-def unit(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = (1 + np.log(n)) * idf[at]
-    return at, x / np.sqrt(x @ x) if len(x) else x
+            return np.zeros((rows, 0)), np.zeros(rows)
+        often = self.place[term] >= 0
+        heavy = np.zeros((rows, len(self.frequent)))
+        heavy[row[often], self.place[term[often]]] = x[often]
+        t, r = term[~often], row[~often]
+        lo = self.start[t]
+        n = self.start[t + 1] - lo
+        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        scores = np.bincount(np.repeat(r, n) * size + self.group[places], self.x[places] * np.repeat(x[~often], n), minlength=rows * size).astype(float, copy=False).reshape(rows, self.blocks, BLOCK)
+        bound = scores.max(axis=2) + heavy @ self.most
+        top = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        done = np.zeros((rows, self.blocks), dtype=bool)
+        np.put_along_axis(done, top, True, axis=1)
+        self._score(heavy, scores, done)
+        least = np.zeros(rows)
+        for i in range(rows):
+            group = (top[i][:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            least[i] = _last(scores[i, top[i]].ravel(), self.many[group] - (0 if without is None else group == without[i]))
+        rest = ~done & (bound >= np.maximum(least - SLACK, SLACK)[:, None])
+        self._score(heavy, scores, rest)
+        scores[~(done | rest)] = -1.0
+        return scores.reshape(rows, size), least
+
+    def _score(self, heavy: np.ndarray, scores: np.ndarray, which: np.ndarray) -> None:
+        for block in np.flatnonzero(which.any(axis=0)):
+            own = which[:, block]
+            scores[own, block] += heavy[own] @ self.dense[block]
+
+
+def _last(scores: np.ndarray, many: np.ndarray) -> float:
+    """The cosine of the last of the neighbours among groups of so many examples each (0 if there are fewer)."""
+    if len(scores) > 2 * NEIGHBOURS:  # one group may be empty
+        top = np.argpartition(-scores, NEIGHBOURS)[: NEIGHBOURS + 1]
+        scores, many = scores[top], many[top]
+    some = (scores > 0) & (many > 0)
+    scores, many = scores[some], many[some]
+    order = np.argsort(-scores, kind="stable")
+    at = int(np.searchsorted(np.cumsum(many[order]), NEIGHBOURS))
+    return float(scores[order[at]]) if at < len(order) else 0.0
+
+
+def relevance(toxic: np.ndarray, clean: np.ndarray, texts: tuple[float, float]) -> np.ndarray:
+    """The weight of each term by how surely it is more frequent in toxic texts: LIGHT for most, up to 1.
+
+    toxic, clean: texts of either label that have the term; texts: how many there are. No term is left out.
+    """
+    share = texts[0] / max(1.0, sum(texts))
+    expected = (toxic + clean) * share
+    z = (toxic - expected) / np.sqrt(expected * (1 - share) + 1)
+    return LIGHT + (1 - LIGHT) * np.maximum(0.0, 1 - (SURE / np.maximum(z, SURE)) ** 2)
 
 
 def platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -136,99 +241,94 @@ def examples_of(labels: DataFrame, limit: int) -> DataFrame:
     """doc_id, toxic and half of at most `limit` labelled ids outside the held-out fold, chosen by a hash of the id."""
     clean = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("examples"))
-    return clean.orderBy(order, "doc_id").limit(limit).select("doc_id", "toxic", F.pmod(order, F.lit(2)).alias("half"))
+    return clean.orderBy(order, "doc_id").limit(limit).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(order, F.lit(2)).cast("int").alias("half"))
 
 
-def select_terms(texts: DataFrame, terms: int) -> np.ndarray:
-    """The hashes of the terms that lie most significantly more often in toxic texts, of `texts` (text, toxic)."""
+def example_vectors(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, toxic, half and the terms and counts of the chosen documents; of rows with the same doc_id the least terms."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, (1 << BITS) + 1), dtype="<i4")
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                data = letters(text)
-                found = [np.unique(h) for h in grams(data, SIZES, BITS)] if len(data) else []
-                own = total[1 if toxic else 0]
-                own[-1] += 1
-                if found:
-                    own[np.unique(np.concatenate(found))] += 1
-        yield pa.record_batch([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
-
-    def pick(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v, dtype="<i4").reshape(2, -1).astype(float) for v in table.column("v").to_pylist())
-        (n0, n1), (all0, all1) = total[:, :-1], total[:, -1]
-        p = (n0 + n1) / max(all0 + all1, 1)
-        z = (n1 / max(all1, 1) - n0 / max(all0, 1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / max(all0, 1) + 1 / max(all1, 1)))
-        z[(n1 < SUPPORT) | (z < 3)] = 0
-        best = np.argsort(-z, kind="stable")[:terms]
-        return pa.table({"term": pa.array(np.sort(best[z[best] > 0]), pa.int64())})
-
-    counts = texts.select("text", "toxic").repartition(8).mapInArrow(count, _COUNTS)
-    return np.array(sorted(r.term for r in counts.groupBy("part").applyInArrow(pick, "term long").collect()), dtype=np.int64)
-
-
-def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+            terms, counts = [], []
+            for row, term, n, texts in term_counts(batch.column("text").to_pylist()):
+                ends = np.searchsorted(row, np.arange(texts + 1))
+                terms += [term[a:b].astype("<u8").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                counts += [n[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "toxic", "half")), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "half", "terms", "counts"])
+
+    found = docs.select("doc_id", "text").join(small(chosen), "doc_id").select("doc_id", "toxic", "half", "text").mapInArrow(vectors, _VECTOR)
+    return found.groupBy("doc_id", "toxic", "half").agg(F.min(F.struct("terms", "counts")).alias("v")).select("doc_id", "toxic", "half", "v.*")
+
+
+def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence nearest_id and nearest_cosine, of each row of `docs` (doc_id, text).
 
     labels (doc_id, toxic): what to learn from; of an id with several labels the largest counts, ids of the held-out fold
-    (see `held_out`) are left out, and so are null ones. At most `examples` of them, chosen by hash, are indexed. One half of
-    these selects the terms; document frequencies come from all rows of `docs`; the votes of the other half, each without
-    itself, calibrate the score. Every text is looked up whole. The index is bounded by `examples` times `terms`, and goes
-    to the tasks with their code.
-
-    Null or empty text, or one without a selected term: the vote of the examples that have none either. No examples, or no
-    term that is typical of the toxic ones: the (smoothed) share of toxic examples. Null doc_id: kept, held out. Repeated
-    rows: each by itself. No rows: no rows. Other columns are ignored.
+    (see `held_out`) are left out, and so are null ones. At most `examples` of them, chosen by hash, are indexed with all their
+    words, lower-cased. Document frequencies come from all rows of `docs`. A term's weight is its IDF times a
+    relevance, which one half of the examples sets (see `relevance`); the votes of the other half, each without itself,
+    calibrate the score. Every text is looked up whole: its neighbours are the examples with the largest cosine over the
+    terms of the index. The driver gets the examples' vectors, the terms' counts and the calibration's votes, all bounded by
+    `examples`; the index is broadcast.
+
+    Null or empty text, or one without a term of the index: the vote of the examples that have none either. No examples:
+    a score of one half. Null doc_id: kept, held out. Repeated rows: each by itself, but one example for an id. No rows: no rows.
+    Other columns are ignored.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    chosen = F.broadcast(written(examples_of(labels, examples)))
-    selected = select_terms(slim.select("doc_id", "text").join(chosen.where("half = 0"), "doc_id"), terms)
-    width = max(1, len(selected))
-    place = np.full(1 << BITS, -1, dtype=np.int16)
-    place[selected] = np.arange(len(selected))
+    table = written(example_vectors(slim, written(examples_of(labels, examples))))
+    rows = sorted(table.collect(), key=lambda r: r.doc_id)
+    toxic, half = np.array([float(bool(r.toxic)) for r in rows]), np.array([r.half for r in rows], dtype=np.int64)
+    n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r.counts, "<u4") for r in rows)])
+    row = np.repeat(np.arange(len(rows)), [len(r.counts) // 4 for r in rows])
+    vocabulary, term = np.unique(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r.terms, "<u8") for r in rows)]), return_inverse=True)
+    ids = [r.doc_id for r in rows]
+    del rows
+    shared_terms = context.broadcast(vocabulary)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, n = [], []
-            for text in batch.column("text").to_pylist():
-                data = letters(text)
-                found = [p[p >= 0] for p in (place[h] for h in grams(data, SIZES, BITS))] if len(data) else []
-                own, many = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int16), np.zeros(0, np.int64))
-                at.append(own.astype("<i2").tobytes())
-                n.append(many.astype("<u4").tobytes())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "held_out", "at", "n"])
-
-    table = written(slim.mapInArrow(vectors, "doc_id long, held_out boolean, at binary, n binary"))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 1, dtype=np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(len(shared_terms.value) + 1, dtype="<i8")
         for batch in batches:
-            for at in batch.column(0).to_pylist():
-                total[np.frombuffer(at, "<i2")] += 1
-            total[-1] += batch.num_rows
-        yield pa.record_batch([pa.array(np.arange(width + 1)), pa.array(total)], names=["term", "n"])
-
-    counts = np.zeros(width + 1)
-    for r in table.select("at").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r.term] = r.n
+            for _, own, _, texts in term_counts(batch.column("text").to_pylist(), shared_terms.value):
+                total[:-1] += np.bincount(own, minlength=len(total) - 1)
+                total[-1] += texts
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
+
+    counts = summed(slim.select("text").mapInArrow(count, "part long, v binary"))
+    if counts is None:
+        counts = np.zeros(len(vocabulary) + 1)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
-
-    rows = sorted(table.join(chosen, "doc_id").select("doc_id", "toxic", "half", "at", "n").limit(2 * examples).collect(), key=lambda r: (r.doc_id, r.at, r.n))
-    toxic = np.array([1.0 if r.toxic else 0.0 for r in rows])
-    own = [unit(np.frombuffer(r.at, "<i2"), np.frombuffer(r.n, "<u4"), idf) for r in rows]
-    index = Index(own, toxic, [r.doc_id for r in rows], width)
-    second = [i for i, r in enumerate(rows) if r.half == 1]
-    votes = np.array([index.vote(*own[i], without=(index.of.get(i, -1), toxic[i]))[0] for i in second])
-    slope, offset = platt(votes, toxic[second]) if len(second) and 0 < toxic[second].sum() < len(second) else (1.0, 0.0)
-    shared = spark.sparkContext.broadcast((index, idf, slope, offset))
+    first = half[row] == 0
+    seen = [np.bincount(term[first & (toxic[row] == y)], minlength=len(vocabulary)).astype(float) for y in (1.0, 0.0)]
+    weights = idf * relevance(*seen, (float(((half == 0) & (toxic == 1)).sum()), float(((half == 0) & (toxic == 0)).sum())))
+    index = Index(row, term, n, weights, toxic, ids)
+    shared = context.broadcast(index)
+    known = context.broadcast({i: (int(index.of[k]), toxic[k]) for k, i in enumerate(ids) if half[k] == 1})
+
+    def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(c.as_buffer(), "<u4") for c in batch.column("counts"))])
+            row = np.repeat(np.arange(batch.num_rows), [len(c.as_buffer()) // 4 for c in batch.column("counts")])
+            term = np.searchsorted(shared_terms.value, np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(c.as_buffer(), "<u8") for c in batch.column("terms"))]))
+            own = [known.value[i] for i in batch.column("doc_id").to_pylist()]
+            votes = shared.value.votes(row, term, n, batch.num_rows, np.array([k for k, _ in own], dtype=np.int64), np.array([y for _, y in own]))
+            yield pa.record_batch([pa.array([v[0] for v in votes], pa.float64()), pa.array([y for _, y in own], pa.float64())], names=["vote", "y"])
+
+    parts = 2 * context.defaultParallelism
+    second = table.where("half = 1").repartition(parts, "doc_id").mapInArrow(itself, "vote double, y double").orderBy("vote", "y").collect()
+    y = np.array([r.y for r in second])
+    slope, offset = platt(np.array([r.vote for r in second]), y) if 0 < y.sum() < len(y) else (1.0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, slope, offset = shared.value
         for batch in batches:
-            found = [index.vote(*unit(np.frombuffer(a, "<i2"), np.frombuffer(n, "<u4"), idf)) for a, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            p = 1 / (1 + np.exp(-(slope * logit(np.array([f[0] for f in found])) + offset))) if found else np.zeros(0)
+            found = []
+            for row, term, n, texts in term_counts(batch.column("text").to_pylist(), shared_terms.value):
+                found += shared.value.votes(row, term, n, texts)
+            p = 1 / (1 + np.exp(-(slope * logit(np.array([f[0] for f in found], dtype=float)) + offset)))
             out = [batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())]
             yield pa.record_batch(out, names=["doc_id", "held_out", "score", "predicted", "nearest_id", "nearest_cosine"])
 
-    return table.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, nearest_id long, nearest_cosine double")
+    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, nearest_id long, nearest_cosine double")
