@@ -21,7 +21,7 @@ LIGHT, SURE = 0.02, 3.0
 #: Groups of equal examples in a block, blocks of each text that are scored first, texts that are scored together.
 BLOCK, FIRST, TOGETHER = 256, 4, 64
 #: Terms in one group of so many or more are frequent, as many as fit in so many bytes: their lists are held dense.
-FREQUENT, DENSE_BYTES = 16, 128 << 20
+FREQUENT, DENSE_BYTES = 16, 64 << 20
 #: Bytes of text whose words are hashed at once, and a slack for rounding when cosines are compared.
 CHUNK, SLACK = 4 << 20, 1e-9
 
@@ -198,6 +198,18 @@ class Index:
             scores[own, block] += heavy[own] @ self.dense[block]
 
 
+class Recipe:
+    """What an Index is made of. It is small, and each worker makes the index once."""
+
+    def __init__(self, *parts):
+        self.parts, self.made = parts, None
+
+    def index(self) -> Index:
+        if self.made is None:
+            self.made = Index(*self.parts)
+        return self.made
+
+
 def _last(scores: np.ndarray, many: np.ndarray) -> float:
     """The cosine of the last of the neighbours among groups of so many examples each (0 if there are fewer)."""
     if len(scores) > 2 * NEIGHBOURS:  # one group may be empty
@@ -269,7 +281,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     relevance, which one half of the examples sets (see `relevance`); the votes of the other half, each without itself,
     calibrate the score. Every text is looked up whole: its neighbours are the examples with the largest cosine over the
     terms of the index. The driver gets the examples' vectors, the terms' counts and the calibration's votes, all bounded by
-    `examples`; the index is broadcast.
+    `examples`; what the index is made of is broadcast.
 
     Null or empty text, or one without a term of the index: the vote of the examples that have none either. No examples:
     a score of one half. Null doc_id: kept, held out. Repeated rows: each by itself, but one example for an id. No rows: no rows.
@@ -304,18 +316,18 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     first = half[row] == 0
     seen = [np.bincount(term[first & (toxic[row] == y)], minlength=len(vocabulary)).astype(float) for y in (1.0, 0.0)]
     weights = idf * relevance(*seen, (float(((half == 0) & (toxic == 1)).sum()), float(((half == 0) & (toxic == 0)).sum())))
-    index = Index(row, term, n, weights, toxic, ids)
-    shared = context.broadcast(index)
-    known = context.broadcast({i: (int(index.of[k]), toxic[k]) for k, i in enumerate(ids) if half[k] == 1})
+    shared = context.broadcast(Recipe(row.astype(np.int32), term.astype(np.int32), n, weights, toxic, ids))
+    del row, term, n
 
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(c.as_buffer(), "<u4") for c in batch.column("counts"))])
             row = np.repeat(np.arange(batch.num_rows), [len(c.as_buffer()) // 4 for c in batch.column("counts")])
             term = np.searchsorted(shared_terms.value, np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(c.as_buffer(), "<u8") for c in batch.column("terms"))]))
-            own = [known.value[i] for i in batch.column("doc_id").to_pylist()]
-            votes = shared.value.votes(row, term, n, batch.num_rows, np.array([k for k, _ in own], dtype=np.int64), np.array([y for _, y in own]))
-            yield pa.record_batch([pa.array([v[0] for v in votes], pa.float64()), pa.array([y for _, y in own], pa.float64())], names=["vote", "y"])
+            own, y = np.searchsorted(shared.value.parts[-1], batch.column("doc_id")), np.asarray(batch.column("toxic")).astype(bool).astype(float)
+            index = shared.value.index()
+            votes = index.votes(row, term, n, batch.num_rows, index.of[own], y)
+            yield pa.record_batch([pa.array([v[0] for v in votes], pa.float64()), pa.array(y)], names=["vote", "y"])
 
     parts = 2 * context.defaultParallelism
     second = table.where("half = 1").repartition(parts, "doc_id").mapInArrow(itself, "vote double, y double").orderBy("vote", "y").collect()
@@ -326,7 +338,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
         for batch in batches:
             found = []
             for row, term, n, texts in term_counts(batch.column("text").to_pylist(), shared_terms.value):
-                found += shared.value.votes(row, term, n, texts)
+                found += shared.value.index().votes(row, term, n, texts)
             p = 1 / (1 + np.exp(-(slope * logit(np.array([f[0] for f in found], dtype=float)) + offset)))
             out = [batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())]
             yield pa.record_batch(out, names=["doc_id", "held_out", "score", "predicted", "nearest_id", "nearest_cosine"])
