@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small, written
@@ -60,27 +60,39 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: The transformed statistics, and the spread below which a difference in each is no sign of anything (added to the estimate).
+#: The transformed statistics, and the resolution of each (added to the estimate as a spread): word lengths are told apart to
+#: one part in twenty, and one event more or less in 100 words is no sign of anything.
+EVENT = math.log(2)
 VECTOR = (
-    ("x1", "ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.06),
-    ("x2", "ln(1 + 100 * n_symbols / greatest(n_words, 1))", 0.5),
-    ("x3", "ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", 1.0),
-    ("x4", "ln(1 + 100 * n_dup_lines / greatest(n_words, 1))", 0.5),
+    ("x1", "ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.05),
+    ("x2", "ln(1 + 100 * n_symbols / greatest(n_words, 1))", EVENT),
+    ("x3", "ln(1 + 100 * n_repeat_words / greatest(n_words, 1))", EVENT),
+    ("x4", "ln(1 + 100 * n_dup_lines / greatest(n_words, 1))", EVENT),
 )
-#: Rows that a group needs for an estimate of its own, the squared Mahalanobis distance beyond which a text is rejected, and
-#: by what the logarithm of a determinant falls at least in a step that isn't the last.
-LEAST_ROWS, CUT, FALL = 50, 40.0, 1e-3
-#: The subset of least determinant has (rows + dimensions + 1) / 2 rows, rounded up to the next of these shares.
-SHARES = [0.5 + 0.005 * k for k in range(21)]
+#: Rows that a group needs for an estimate of its own, the share of a normal distribution that is kept, and by what the
+#: logarithm of a determinant falls at least in a step that isn't the last.
+LEAST_ROWS, KEPT, FALL = 2 * (len(VECTOR) + 1), 0.999, 1e-3
+#: Distances are counted in steps of 1 / FINE of their logarithm.
+FINE = 64
 
 
-def consistency(share: float) -> float:
-    """By what the covariance of the nearest `share` of a normal distribution in 4 dimensions is multiplied to be that of all."""
-    at_most = {4: lambda x: 1 - math.exp(-x / 2) * (1 + x / 2), 6: lambda x: 1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8)}
+def _chi(x: float) -> float:
+    """Distribution function of chi-square with 4 degrees of freedom."""
+    return 1 - math.exp(-x / 2) * (1 + x / 2)
+
+
+def quantile(share: float) -> float:
+    """The squared Mahalanobis distance within which a 4-dimensional normal distribution has so much."""
     lo, hi = 0.0, 200.0
     for _ in range(100):
-        lo, hi = ((lo + hi) / 2, hi) if at_most[4]((lo + hi) / 2) < share else (lo, (lo + hi) / 2)
-    return share / at_most[6](lo)
+        lo, hi = ((lo + hi) / 2, hi) if _chi((lo + hi) / 2) < share else (lo, (lo + hi) / 2)
+    return lo
+
+
+def consistency(share: float) -> float:
+    """By what the covariance of the nearest `share` of a normal distribution in 4 dimensions is multiplied to be that of all."""
+    x = quantile(share)
+    return share / (1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
 
 
 _X = [name for name, _, _ in VECTOR]
@@ -122,40 +134,40 @@ def _distance() -> Column:
 
 
 def estimates(table: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group of `table` (group, x1..x4): group, n, m, w.
+    """Minimum-covariance-determinant estimates of each group of `table` (group, x1..x4): group, m, w.
 
     Two starts, one from medians and quartiles and one from mean and covariance, are concentrated: the rows nearest to
-    an estimate (just over half of the group, by an approximate quantile of the distances) give the next one, until the
-    determinant stops falling. Of the two the one with the smaller determinant stays. All rows take part in each step; groups
-    are pre-aggregated before they meet, and those that have converged are left out.
+    an estimate, just over half of the group, give the next one, until the determinant stops falling. The one with the least
+    determinant stays. A step is one aggregation: all rows are summed by group and step of distance (FINE), and the sums of the
+    nearest steps that hold (rows + dimensions + 1) / 2 rows are the next subset. Groups that have converged are left out.
     """
-    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q{i}") for i, x in enumerate(_X)]
+    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(_X)]
     raw = written(table.groupBy("group").agg(*_moments(), *quartiles))
     robust = raw.select("group", F.lit(0).alias("start"), "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in _D], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in _D for j in range(i + 1)])
     plain = raw.select("group", F.lit(1).alias("start"), "n", *[f"m{i}" for i in _D], *[f"c{i}{j}" for i in _D for j in range(i + 1)])
     keys = ["group", "start"]
-    now = written(_factored(robust.unionByName(plain), keys, 1.0))
-    factors = F.array(*[F.lit(consistency(k / 200)) for k in range(100, 201)])
-    wanted = (F.col("rows") + len(_X) + 1) / 2 / F.col("rows")
-    place = F.least(F.ceil(F.round((wanted - 0.5) / 0.005, 6)), F.lit(len(SHARES) - 1)).cast("int")
-    active, now = now, None
-    while True:
-        far = table.join(small(active), "group").select(*keys, *_X, _distance().alias("d"))
-        bounds = far.groupBy(*keys).agg(F.percentile_approx("d", F.array(*[F.lit(x) for x in SHARES]), 10000).alias("q"), F.count("*").alias("rows"))
-        bound = written(bounds.select(*keys, "rows", F.get("q", place).alias("bound")))
-        near = far.join(small(bound), keys).where("d <= bound").groupBy(*keys).agg(*_moments(), F.max("rows").alias("rows"))
-        share = F.greatest(F.round(200 * F.col("n") / F.col("rows")).cast("int") - 100, F.lit(0))
-        step = written(_factored(near, keys, F.get(factors, share)))
-        if now is None:
-            active = now = step
-            continue
-        falls = step.join(now.select(*keys, F.col("log_det").alias("before")), keys).where(F.col("log_det") < F.col("before") - FALL).drop("before")
-        active = written(falls)
-        if active.isEmpty():
-            break
-        now = written(active.unionByName(now.join(active.select(*keys), keys, "left_anti")))
-    best = now.groupBy("group").agg(F.min_by(F.struct(*[c for c in now.columns if c not in keys]), F.struct("log_det", "start")).alias("e"))
-    return best.join(raw.select("group", F.col("n").alias("rows")), "group").select("group", F.col("rows").alias("n"), *[f"e.{c}" for c in now.columns if c[0] in "mw"])
+    active = written(_factored(robust.unionByName(plain), keys, 1.0).withColumn("log_det", F.lit(float("inf"))))
+    factors = F.array(*[F.lit(consistency(k / 1000)) for k in range(500, 1001)])
+    pairs = [(i, j) for i in _D for j in range(i + 1)]
+    sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}{j}") for i, j in pairs]]
+    nearer = Window.partitionBy(*keys).orderBy("step")
+    steps: list[DataFrame] = []
+    while not active.isEmpty():
+        far = table.join(small(active.drop("n")), "group").withColumn("step", F.floor(F.ln(F.greatest(_distance(), F.lit(1e-12))) * FINE))
+        held = far.groupBy(*keys, "step").agg(*sums, F.first("log_det").alias("before"))
+        upto = held.select(*keys, "before", F.sum("n").over(Window.partitionBy(*keys)).alias("rows"), *[F.sum(c).over(nearer).alias(c) for c in ("n", *[f"s{i}" for i in _D], *[f"s{i}{j}" for i, j in pairs])])
+        enough = upto.where(2 * F.col("n") >= F.col("rows") + len(_X) + 1).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in upto.columns if c not in keys]), "n").alias("u")).select(*keys, "u.*")
+        moments = enough.select(*keys, "n", "rows", "before", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in _D], *[(F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")).alias(f"c{i}{j}") for i, j in pairs])
+        share = F.greatest(F.round(1000 * F.col("n") / F.col("rows")).cast("int") - 500, F.lit(0))
+        steps.append(written(_factored(moments, [*keys, "before"], F.get(factors, share))))
+        active = steps[-1].where(F.col("log_det") < F.col("before") - FALL).drop("before")
+    if not steps:
+        return active.select("group", *[c for c in active.columns if c[0] in "mw"])
+    found = [c for c in steps[0].columns if c[0] in "mw"]
+    every = steps[0].withColumn("turn", F.lit(0))
+    for k, more in enumerate(steps[1:], 1):
+        every = every.unionByName(more.withColumn("turn", F.lit(k)))
+    return every.groupBy("group").agg(F.min_by(F.struct(*found), F.struct("log_det", "turn", "start")).alias("e")).select("group", "e.*")
 
 
 def _group(level: int) -> Column:
@@ -164,28 +176,32 @@ def _group(level: int) -> Column:
     return F.lit("all") if own is None else F.concat(F.lit(f"{level}:"), F.to_json(own))
 
 
-def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
+def judged(docs: DataFrame, carry: list[str], least_rows: int = LEAST_ROWS, kept: float = KEPT) -> DataFrame:
     """Judges each row of `docs` (doc_id, text, lang, source): a struct doc of the columns `carry`, STATS, base_failed, distance, kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. The other rows are rejected where the
-    vector of transformed statistics (VECTOR) is farther than CUT from the robust centre of its language and source, or of
-    its language, or of all rows, whichever is the first with LEAST_ROWS rows; with fewer in all, none is rejected.
-    distance is null for rows that base rules reject.
+    vector of transformed statistics (VECTOR) is farther from the robust centre of its language and source than the share
+    `kept` of a normal distribution reaches (a quantile of chi-square). A group of fewer than `least_rows` rows, too few for
+    the estimate, is judged by that of its language, or of all rows; with fewer in all, none is rejected.
+    distance (squared) is null for rows that base rules reject.
 
     Null language and source are groups of their own; null text counts as empty. Equal statistics: no spread but the
-    least one, so nothing divides by zero. Null doc_id and repeated rows: judged like any other. No rows: no rows. What is
+    resolution, so nothing divides by zero. Null doc_id and repeated rows: judged like any other. No rows: no rows. What is
     carried is written once beside the statistics, so that texts aren't shuffled and are split into words once.
     """
     stats = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), "text", "lang", "source"))
     table = written(stats.withColumn("base_failed", base_failed()).withColumns({x: F.expr(e) for x, e, _ in VECTOR}))
     fair = table.where(~F.col("base_failed"))
-    grouped = fair.select(F.explode(F.array(*[_group(k) for k in range(3)])).alias("group"), *_X)
-    found = written(estimates(grouped).where(F.col("n") >= LEAST_ROWS))
-    levels = fair.select(_group(0).alias("own"), _group(1).alias("g1"), _group(2).alias("g2")).distinct()
-    choice = levels.select("own", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(c).alias("group")) for k, c in enumerate(("own", "g1", "g2"))])).alias("c")).select("own", "c.*")
-    nearest = choice.join(small(found), "group").groupBy("own").agg(F.min_by(F.struct(*[c for c in found.columns if c[0] in "mw"]), "level").alias("e"))
-    chosen = small(written(nearest.select("own", "e.*")))
+    levels = [_group(k).alias(f"g{k}") for k in range(3)]
+    sizes = written(fair.select(*levels).groupBy("g0", "g1", "g2").agg(F.count("*").alias("n0")))
+    total = sizes.agg(F.sum("n0")).first()[0] or 0
+    by_language = sizes.groupBy("g1").agg(F.sum("n0").alias("n1"))
+    own = F.when(F.col("n0") >= least_rows, F.col("g0")).when(F.col("n1") >= least_rows, F.col("g1")).when(F.lit(total >= least_rows), F.col("g2"))
+    choice = written(sizes.join(by_language, "g1").select(F.col("g0").alias("own"), own.alias("group")).where("group is not null"))
+    grouped = fair.select(F.explode(F.array(*levels)).alias("group"), *_X).join(small(choice.select("group").distinct()), "group")
+    found = estimates(written(grouped))
+    chosen = small(written(choice.join(found, "group").drop("group")))
     distance = F.when(~F.col("base_failed"), _distance())
     out = table.withColumn("own", _group(0)).join(chosen, "own", "left").withColumn("distance", distance)
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
-    return out.select("doc", *STATS, "base_failed", "distance", kept.alias("kept"))
+    stays = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= quantile(kept))
+    return out.select("doc", *STATS, "base_failed", "distance", stays.alias("kept"))
