@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import types as T
 
+from tidemark.llm import mixing
 from tidemark.llm.mixing import mixed
 
 SCHEMA = T.StructType([T.StructField(c, T.LongType() if c == "doc_id" else T.StringType()) for c in ("doc_id", "text", "source", "size", "row", "p", "target")])
@@ -86,3 +87,13 @@ def test_no_documents_and_no_words(spark):
 def test_only_dataframe_functions(spark):
     plan = mixed(spark.createDataFrame([(1, "a", "b", "", "", "", "")], SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_alike_are_numbered_across_parts(spark):
+    rows = [(i, None if i % 3 else i % 5, "s" if i % 2 else None) for i in range(300)] + [(1000, 77, "s")]
+    got = mixing.numbered_alike(spark.createDataFrame(rows, "row long, doc_id long, source string"), ["doc_id", "source"], parts=4).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.doc_id, r.source), []).append(r)
+    assert len(got) == 301 and len(groups[77, "s"]) == 1
+    assert all(sorted(r.number for r in g) == list(range(1, len(g) + 1)) and {r.alike for r in g} == {len(g)} for g in groups.values())

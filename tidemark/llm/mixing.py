@@ -11,6 +11,8 @@ from tidemark.llm.common import small, written
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents that one node of the reduction tree pairs, on average.
 FAN = 64
+#: Parts of a group of rows alike, so that a large one is no single task's work.
+PARTS = 1024
 #: A probability this near to 0 or 1 counts as there.
 NEAR = 1e-9
 
@@ -73,6 +75,27 @@ def _round_group(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def numbered_alike(rows: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """Adds to `rows` (row: long, distinct) how many are alike in `keys` (alike) and the number of each among these, from 1.
+
+    Counts of `parts` parts of each group come first; a part's rows are numbered by themselves, from where the parts
+    before it end. Rows without their like, which is most, are not sorted at all.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    several = written(counts.withColumns({"alike": F.sum("n").over(group), "before": F.coalesce(F.sum("n").over(before), F.lit(0))}).where("alike > 1").drop("n"))
+    same = F.col("r.part") == F.col("s.part")
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+    joined = dealt.alias("r").join(small(several).alias("s"), same, "left").select("r.*", "s.alike", "s.before")
+    own = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row"))
+    again = joined.where("alike is not null").withColumn("number", own + F.col("before"))
+    alone = joined.where("alike is null").withColumns({"alike": F.lit(1).cast("long"), "number": F.lit(1).cast("long")})
+    return alone.unionByName(again).drop("part", "before")
+
+
 def mixed(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """row, doc_id, source, size, source_size, target, copies and taken of each row of `docs` (doc_id, text, source).
 
@@ -96,8 +119,7 @@ def mixed(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS,
     whole = F.floor(rate + NEAR).cast("int")
     draw = lambda level: F.xxhash64("doc_id", "source", "size", F.lit(f"{seed} {level}"))
     uniform = lambda level: F.shiftrightunsigned(draw(level), 11).cast("double") / float(1 << 53)
-    alike = Window.partitionBy("doc_id", "source", "size")
-    start = joined.withColumn("rate", rate).withColumn("whole", whole).withColumns({"number": F.row_number().over(alike.orderBy("row")), "p": F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.count("*").over(alike)})
+    start = numbered_alike(joined.withColumn("rate", rate).withColumn("whole", whole), ["doc_id", "source", "size"]).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.col("alike"))
     more = F.floor(F.col("p") + NEAR)
     start = start.withColumns({"whole": F.col("whole") + (F.col("number") <= more).cast("int"), "p": F.when((F.col("number") == more + 1) & (F.col("p") - more > NEAR), F.col("p") - more).otherwise(0.0)})
     start = written(start.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "p"))
