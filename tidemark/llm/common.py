@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,31 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame) -> DataFrame:
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that `written` has made meanwhile, but for those with keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder as Parquet and returns the table read again.
 
-    The files outlive lost executors, and what has been computed once isn't computed again.
+    The files outlive lost executors, and what has been computed once isn't computed again. They stay after the end of a
+    `temporary` block only with keep, which hands them to the block around it, if there is one.
     """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
