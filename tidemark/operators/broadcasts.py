@@ -17,5 +17,8 @@ def held(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int = ROWS) -> DataFrame:
     """A lookup table, computed once: with a broadcast hint if it has at most `rows` rows, else a shuffled join whose skew AQE splits."""
-    df = held(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    kept = held(df)
+    if kept.limit(rows + 1).count() <= rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sets import r6
+from tidemark.operators.broadcasts import small
 
 
 def match_counts(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -39,7 +40,10 @@ def class_share(rows: DataFrame, by: str) -> DataFrame:
 
 
 def numbers_stated(source: DataFrame, told: DataFrame) -> DataFrame:
-    """For each literal of `source` (name, literal) whether any text of `told` (text) holds it."""
+    """For each literal of `source` (name, literal) whether any text of `told` (text) holds it.
+
+    The distinct literals go to where the lines are, if their count allows; lines are never broadcast.
+    """
     lines = told.select(F.explode(F.split("text", "\n")).alias("line"))
-    hit = source.join(lines, F.contains("line", "literal"), "left_semi").select("name", F.lit(True).alias("hit"))
-    return source.join(hit, "name", "left").select("name", "literal", F.coalesce("hit", F.lit(False)).alias("stated"))
+    hit = lines.join(small(source.select("literal").distinct()), F.contains("line", "literal")).select("literal").distinct().withColumn("hit", F.lit(True))
+    return source.join(hit, "literal", "left").select("name", "literal", F.coalesce("hit", F.lit(False)).alias("stated"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clauses
 from tidemark.functions.sets import field_set, micro_prf, overlap, r6, safe_ratio
-from tidemark.operators.broadcasts import small
+from tidemark.operators.broadcasts import held, small
 
 #: Clauses that are charting phrases rather than findings.
 CHARTING = ("病史同前", "病史同", "同前", "同上", "无特殊", "无不适", "无明显不适", "无其他不适", "无其他特殊", "一般情况可", "一般可", "尚可", "可", "无")
@@ -42,25 +42,32 @@ def time_entropy(rows: DataFrame, key: str, months: Column | int, n: int) -> Dat
     return total.select(key, F.col("total").alias("n"), r6(entropy).alias("entropy")).orderBy("entropy", key).limit(n)
 
 
-def associations(rows: DataFrame, tokens: DataFrame, min_token: int, min_entities: int, min_lift: float, min_share: float, n: int) -> DataFrame:
-    """token, item, visits, entities, share P(item|token), lift, concentration and suspicious of the n best rows.
+def associations(rows: DataFrame, tokens: DataFrame, min_rows: int, min_token: int, min_visits: int, min_entities: int, min_lift: float, min_share: float, n: int) -> DataFrame:
+    """stratum, token, item, visits, entities, share P(item|token), lift, concentration and suspicious of the n best rows of each stratum.
 
-    Of an item's tokens the best row stays: not suspicious (few visits per entity, spread over months) first, then by
+    rows (rid, pid, date, items, strata): a visit counts in each of its strata; strata of fewer than `min_rows` visits are left out. All rates and
+    lifts are those within the stratum, so what only the stratum explains isn't an association. Of an item's tokens the best row stays: not suspicious (few visits per entity, spread over months) first, then by
     entities per visit and lift. Counts by token, by item and by both are grouped apart and joined, so none meets a pair of
     visits.
     """
-    total = rows.agg(F.count("*").alias("total"))
-    items = rows.select("rid", "pid", "date", F.explode("items").alias("item"))
-    per_item = items.groupBy("item").agg(F.count("*").alias("n_item")).join(time_concentration(items, "item").select("item", "concentration"), "item")
-    per_token = tokens.groupBy("token").agg(F.count("*").alias("n_token")).where(F.col("n_token") >= min_token)
-    both = tokens.select("rid", "pid", "token").join(items.select("rid", "item"), "rid").groupBy("token", "item").agg(F.count("*").alias("visits"), F.countDistinct("pid").alias("entities"))
-    joined = both.join(small(per_token), "token").join(small(per_item), "item").crossJoin(F.broadcast(total))
+    rows = held(rows.select("rid", "pid", "date", "items", F.explode("strata").alias("stratum")))
+    total = rows.groupBy("stratum").agg(F.count("*").alias("total")).where(F.col("total") >= min_rows)
+    items = rows.select("stratum", "rid", "pid", "date", F.explode("items").alias("item"))
+    by_month = items.groupBy("stratum", "item", month().alias("month")).agg(F.count("*").alias("n"))
+    per_item = by_month.groupBy("stratum", "item").agg(F.sum("n").alias("n_item"), r6(F.max("n") / F.sum("n")).alias("concentration"))
+    of_row = tokens.groupBy("rid").agg(F.collect_list("token").alias("tokens"))
+    told = rows.join(of_row, "rid").select("stratum", "pid", "items", F.explode("tokens").alias("token"))
+    per_token = told.groupBy("stratum", "token").agg(F.count("*").alias("n_token")).where(F.col("n_token") >= min_token)
+    both = told.select("stratum", "pid", "token", F.explode("items").alias("item")).groupBy("stratum", "token", "item", "pid").agg(F.count("*").alias("c"))
+    both = both.groupBy("stratum", "token", "item").agg(F.sum("c").alias("visits"), F.count("*").alias("entities")).where(F.col("visits") >= min_visits)
+    joined = both.join(small(per_token), ["stratum", "token"]).join(small(per_item), ["stratum", "item"]).join(small(total), "stratum")
     share = F.col("visits") / F.col("n_token")
     scored = joined.withColumns({"share": share, "lift": share / (F.col("n_item") / F.col("total"))}).where((F.col("entities") >= min_entities) & (F.round("lift", 9) >= min_lift) & (F.col("share") >= min_share))
     scored = scored.withColumn("suspicious", (F.col("visits") / F.col("entities") > 5) | (F.col("concentration") > 0.5))
     order = [F.col("suspicious"), F.round(-F.col("entities") / F.col("visits"), 9), F.round(-F.col("lift"), 9), F.col("token")]
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where("r = 1")
-    return best.orderBy(*order[:3], "item").limit(n).select("token", "item", "visits", "entities", r6(F.col("share")).alias("share"), r6(F.col("lift")).alias("lift"), "concentration", "suspicious")
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "item").orderBy(*order))).where("r = 1")
+    first = best.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy(*order[:3], "item"))).where(F.col("r") <= n)
+    return first.select("stratum", "token", "item", "visits", "entities", r6(F.col("share")).alias("share"), r6(F.col("lift")).alias("lift"), "concentration", "suspicious")
 
 
 def goal_vote(train: DataFrame, test: DataFrame, votes: int = 3) -> DataFrame:

@@ -11,12 +11,25 @@ from tidemark.functions.sets import field_set
 from tidemark.operators.broadcasts import small
 
 
+#: Letters of a name that tell cells of the vocabulary apart.
+PREFIX = 3
+
+
 def top_items(rows: DataFrame, k: int | None = None, items: str = "items") -> DataFrame:
-    """item, n and rank: most frequent first, ties by name. With k the first k alone, which needs no full sort."""
+    """item, n and rank: most frequent first, ties by name. With k the first k alone, which needs no full sort.
+
+    Without k, items are counted by their n and the first letters of their name; a rank begins where the cells before it
+    end, so that no task ranks the whole vocabulary.
+    """
     counts = rows.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     if k is not None:
         counts = counts.orderBy(F.desc("n"), "item").limit(k)
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item")))
+        return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item")))
+    cells = counts.withColumn("_p", F.substring("item", 1, PREFIX))
+    sizes = cells.groupBy("n", "_p").agg(F.count("*").alias("_c"))
+    before = sizes.select("n", "_p", (F.sum("_c").over(Window.orderBy(F.desc("n"), "_p")) - F.col("_c")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("n", "_p").orderBy("item"))
+    return cells.withColumn("_local", local).join(before, ["n", "_p"]).select("item", "n", (F.col("_before") + F.col("_local")).alias("rank"))
 
 
 def top_list(rows: DataFrame, k: int, items: str = "items") -> list[str]:

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.sets import r6
-from tidemark.operators.broadcasts import ROWS, held
+from tidemark.operators.broadcasts import held
 from tidemark.operators.checks import pick_by_index
 from tidemark.operators.splits import hash_rank
 
 
+#: Draws that one hash gives, each as 8 hexadecimal digits.
+DRAWS = 8
+
+
+def poisson_bounds(most: int = 12) -> list[str]:
+    """The least 8-digit hexadecimal draws that count 1, 2, ... times: cumulative probabilities of a Poisson distribution with mean 1."""
+    return [f"{min(2**32 - 1, round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))):08x}" for k in range(most)]
+
+
+def poisson(digits: Column) -> Column:
+    """How often a row counts whose draw has these digits; most rows are decided by the first comparisons."""
+    bounds = poisson_bounds()
+    count = F.when(digits < bounds[0], 0)
+    for k, bound in enumerate(bounds[1:], 1):
+        count = count.when(digits < bound, k)
+    return count.otherwise(len(bounds))
+
+
 def draw(*parts) -> Column:
     """A uniform whole number below 2^32 from the hash of columns and constants."""
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
@@ -18,12 +38,16 @@ def draw(*parts) -> Column:
 
 
 def bootstrap_means(rows: DataFrame, key: str, value: str, times: int, seed=7) -> DataFrame:
-    """b and the mean of `value` over as many draws with replacement as there are rows, for b below `times`."""
-    numbered = held(hash_rank(rows.select(key, value), key).select((F.col("_rank") - 1).alias("ix"), F.col(value).alias("v")))
-    n = numbered.count()
-    grid = rows.sparkSession.range(times * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.col("id").alias("i"))
-    drawn = grid.select("b", (draw(F.col("b"), F.col("i") % max(n, 1), seed) % max(n, 1)).alias("ix"))
-    return drawn.join(F.broadcast(numbered) if n <= ROWS else numbered, "ix").groupBy("b").agg(F.round(F.avg("v"), 9).alias("mean"))
+    """b and the mean of `value` in each of `times` resamples, in which a row counts as often as a Poisson draw of its own says.
+
+    One pass without a join: each row's hashes give DRAWS counts each, and tasks sum them before anything is shuffled.
+    """
+    hashed = rows.select(F.col(key).alias("_key"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(-(-times // DRAWS) - 1))).alias("g"))
+    hashed = hashed.select("g", "v", F.sha2(F.concat_ws(":", F.col("_key").cast("string"), "g", F.lit(str(seed))), 256).alias("h"))
+    counts = hashed.select("g", "v", *[poisson(F.substring("h", 8 * j + 1, 8)).alias(f"c{j}") for j in range(DRAWS)])
+    sums = counts.groupBy("g").agg(*[F.struct(F.sum(F.col(f"c{j}") * F.col("v")).alias("s"), F.sum(f"c{j}").alias("n")).alias(f"d{j}") for j in range(DRAWS)])
+    each = sums.select("g", F.posexplode(F.array(*[f"d{j}" for j in range(DRAWS)])).alias("j", "d"))
+    return each.select((F.col("g") * DRAWS + F.col("j")).cast("long").alias("b"), F.round(F.try_divide("d.s", "d.n"), 9).alias("mean")).where(F.col("b") < times)
 
 
 def interval(means: DataFrame, times: int, alpha: float = 0.05) -> DataFrame:

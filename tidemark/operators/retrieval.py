@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clauses
 from tidemark.functions.sets import field_set, jaccard, r6
-from tidemark.operators.broadcasts import held, small
+from tidemark.operators.broadcasts import ROWS, held, small
 from tidemark.operators.checks import pick_by_index
 from tidemark.operators.resample import draw
 from tidemark.operators.splits import hash_rank
@@ -23,11 +23,12 @@ def candidates(queries: DataFrame, pool: DataFrame, cap: int, least: int) -> Dat
     or, if these are fewer than `least`, also those that share a disease. A query isn't its own candidate.
 
     The inverted index holds the distinct label sets of the pool, not its visits: queries meet these sets through their
-    labels, and then each set's visits, so a pair arises once and needn't be made distinct. The queries are a bounded sample
+    labels, and then each set's visits, so a pair arises once and needn't be made distinct. Pairs are ranked as three numbers,
+    and each task keeps `cap` a query before they meet; items are looked up for those that stay. The queries are a bounded sample
     and are broadcast, if their count allows.
     """
     queries = held(queries)
-    pool = pool.join(small(queries.select("rid")), "rid", "left_anti")
+    pool = held(pool.join(small(queries.select("rid")), "rid", "left_anti"))
 
     def matches(asked: DataFrame, field: str) -> DataFrame:
         """q and each label set of the pool (as `found`) that has one of its labels."""
@@ -43,8 +44,9 @@ def candidates(queries: DataFrame, pool: DataFrame, cap: int, least: int) -> Dat
     by_pattern = pool.join(first, F.col("patterns") == F.col("found")).join(left, "q")
     by_disease = pool.join(matches(few, "diseases"), F.col("diseases") == F.col("found")).join(left, "q").where(~F.arrays_overlap("patterns", "q_patterns"))
     both = by_pattern.unionByName(by_disease)
-    scored = both.select("q", "rid", F.round(jaccard(F.col("tokens"), F.col("q_tokens")), 9).alias("sim"), "items", "q_items")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "rid"))).where(F.col("rank") <= cap)
+    scored = both.select("q", "rid", F.round(jaccard(F.col("tokens"), F.col("q_tokens")), 9).alias("sim"))
+    first_ones = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "rid"))).where(F.col("rank") <= cap)
+    ranked = pool.select("rid", "items").join(small(first_ones.drop("sim"), 2 * ROWS), "rid").join(left.select("q", "q_items"), "q")
     j = jaccard(F.col("items"), F.col("q_items"))
     return ranked.select("q", "rid", "rank", F.round(j, 9).alias("j"), F.size(F.array_except("q_items", "items")).alias("adds"), F.size(F.array_except("items", "q_items")).alias("deletes"))
 

@@ -16,7 +16,7 @@ from tidemark.plans.pools import gold
 from tidemark.plans.priors import PAIRS, PATTERN, TOP, prior_sql, sides
 from tidemark.sources.visits import table, visits
 
-TIMES = 60
+TIMES = 1000
 
 
 def hashed(parts: str) -> str:
@@ -25,9 +25,11 @@ def hashed(parts: str) -> str:
 
 def boot_sql(values: str, name: str, seed: int = 7) -> str:
     """CTEs to the means of resampled `values` (rid, v): {name}_m (b, mean)."""
-    return f""", {name}_v AS (SELECT v, row_number() OVER (ORDER BY sha256(rid || ':42'), rid) - 1 AS ix, count(*) OVER () AS n FROM {values}), {name}_n AS (SELECT count(*) AS n FROM {values}),
-{name}_d AS (SELECT b, {hashed(f"b || ':' || i || ':{seed}'")} % n AS ix FROM {name}_n, range(0, {TIMES}) AS bs(b), LATERAL (SELECT unnest(range(0, n)) AS i)),
-{name}_m AS (SELECT b, round(avg(v), 9) AS mean FROM {name}_d JOIN {name}_v USING (ix) GROUP BY b)
+    bounds = R.poisson_bounds()
+    count = "CASE " + " ".join(f"WHEN s < '{x}' THEN {k}" for k, x in enumerate(bounds)) + f" ELSE {len(bounds)} END"
+    return f""", {name}_h AS (SELECT v, g, sha256(rid || ':' || g || ':{seed}') AS h FROM {values}, range(0, {-(-TIMES // R.DRAWS)}) AS r(g)),
+{name}_d AS (SELECT g * {R.DRAWS} + j AS b, v, substr(h, CAST(8 * j + 1 AS INT), 8) AS s FROM {name}_h, range(0, {R.DRAWS}) AS e(j)),
+{name}_m AS (SELECT b, round(sum(c * v) / nullif(sum(c), 0), 9) AS mean FROM (SELECT b, v, {count} AS c FROM {name}_d) WHERE b < {TIMES} GROUP BY b)
 """
 
 
@@ -76,7 +78,7 @@ def paired_bootstrap_subset(spark, sf_dir):
     return out
 
 
-PERMS, PERM_TOP, PERM_GOAL, PERM_TOKEN = 20, 8, "AF", "s3"
+PERMS, PERM_TOP, PERM_GOAL, PERM_TOKEN = 200, 15, "AF", "s3"
 TOKENS = "list_filter(list_transform(list_filter(string_split(text_long, '，'), lambda p: p <> ''), lambda p: CASE WHEN regexp_matches(p, '^(无|未|不)') THEN '无' || substr(p, 2) ELSE p END), lambda p: TRUE)"
 
 
@@ -101,18 +103,22 @@ def token_vocab(spark, sf_dir):
     return mining.token_vocab(gold(spark, sf_dir), 150)
 
 
-LEAST = {"min_token": 200, "min_entities": 20, "min_lift": 1.0, "min_share": 0.1, "n": 40}
+LEAST = {"min_rows": 500, "min_token": 200, "min_visits": 25, "min_entities": 20, "min_lift": 1.0, "min_share": 0.1, "n": 14}
 
 
-@query(with_visits(VOCAB_SQL + f""", it AS (SELECT rid, pid, date, unnest(items) AS item FROM gold), im AS (SELECT item, strftime(date, '%Y-%m') AS mo, count(*) AS n FROM it GROUP BY ALL),
-pi AS (SELECT item, sum(n) AS n_item, round(max(n) / sum(n), 6) AS concentration FROM im GROUP BY item), pt AS (SELECT token, count(*) AS n_token FROM vt GROUP BY token HAVING count(*) >= 200),
-b AS (SELECT token, item, count(*) AS visits, count(DISTINCT vt.pid) AS entities FROM vt JOIN it USING (rid) GROUP BY ALL),
-s AS (SELECT *, visits / n_token AS share, (visits / n_token) / (n_item / (SELECT count(*) FROM gold)) AS lift, visits / entities > 5 OR concentration > 0.5 AS suspicious FROM b JOIN pt USING (token) JOIN pi USING (item)),
-f AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY suspicious, round(-entities / visits, 9), round(-lift, 9), token) AS r FROM s WHERE entities >= 20 AND round(lift, 9) >= 1.0 AND share >= 0.1)
-SELECT token, item, visits, entities, round(share, 6) AS share, round(lift, 6) AS lift, concentration, suspicious FROM f WHERE r = 1 ORDER BY suspicious, round(-entities / visits, 9), round(-lift, 9), item LIMIT 40"""))
+@query(with_visits(VOCAB_SQL + f""", gs AS (SELECT rid, pid, date, items, unnest({field('labels', 'goal')}) AS stratum FROM gold), sn AS (SELECT stratum, count(*) AS total FROM gs GROUP BY stratum HAVING count(*) >= 500),
+it AS (SELECT stratum, rid, pid, date, unnest(items) AS item FROM gs), im AS (SELECT stratum, item, strftime(date, '%Y-%m') AS mo, count(*) AS n FROM it GROUP BY ALL),
+pi AS (SELECT stratum, item, sum(n) AS n_item, round(max(n) / sum(n), 6) AS concentration FROM im GROUP BY ALL), st AS (SELECT stratum, gs.rid, gs.pid, token FROM gs JOIN vt USING (rid)),
+pt AS (SELECT stratum, token, count(*) AS n_token FROM st GROUP BY ALL HAVING count(*) >= 200),
+b AS (SELECT stratum, token, item, count(*) AS visits, count(DISTINCT st.pid) AS entities FROM st JOIN it USING (stratum, rid) GROUP BY ALL HAVING count(*) >= 25),
+s AS (SELECT *, visits / n_token AS share, (visits / n_token) / (n_item / total) AS lift, visits / entities > 5 OR concentration > 0.5 AS suspicious FROM b JOIN pt USING (stratum, token) JOIN pi USING (stratum, item) JOIN sn USING (stratum)),
+f AS (SELECT *, row_number() OVER (PARTITION BY stratum, item ORDER BY suspicious, round(-entities / visits, 9), round(-lift, 9), token) AS r FROM s WHERE entities >= 20 AND round(lift, 9) >= 1.0 AND share >= 0.1),
+t AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY suspicious, round(-entities / visits, 9), round(-lift, 9), item) AS z FROM f WHERE r = 1)
+SELECT stratum, token, item, visits, entities, round(share, 6) AS share, round(lift, 6) AS lift, concentration, suspicious FROM t WHERE z <= 14"""))
 def assoc_rules(spark, sf_dir):
-    g = gold(spark, sf_dir)
-    return mining.associations(g, mining.with_tokens(g, mining.token_vocab(g, 150)), **LEAST)
+    g = held(gold(spark, sf_dir))
+    rows = g.withColumn("strata", field_set(F.col("labels"), "goal"))
+    return mining.associations(rows, mining.with_tokens(g, mining.token_vocab(g, 150)), **LEAST)
 
 
 @query(with_visits("""SELECT item, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS concentration FROM (SELECT item, strftime(date, '%Y-%m') AS mo, count(*) AS n FROM (SELECT date, unnest(items) AS item FROM gold) GROUP BY ALL) GROUP BY item"""))
@@ -121,11 +127,11 @@ def time_concentration(spark, sf_dir):
 
 
 @query(with_visits(VOCAB_SQL + """, m AS (SELECT token, strftime(date, '%Y-%m') AS mo, count(*) AS n FROM vt GROUP BY ALL), t AS (SELECT token, sum(n) AS total, sum(n * ln(n)) AS s FROM m GROUP BY token)
-SELECT token, CAST(total AS BIGINT) AS n, round((ln(total) - s / total) / ln((SELECT count(DISTINCT strftime(date, '%Y-%m')) FROM gold)), 6) AS entropy FROM t ORDER BY 3, 1 LIMIT 10"""))
+SELECT token, CAST(total AS BIGINT) AS n, round((ln(total) - s / total) / ln((SELECT count(DISTINCT strftime(date, '%Y-%m')) FROM gold)), 6) AS entropy FROM t ORDER BY 3, 1 LIMIT 25"""))
 def token_entropy(spark, sf_dir):
     g = gold(spark, sf_dir)
     months = g.select(F.countDistinct(mining.month()).alias("n")).first().n
-    return mining.time_entropy(mining.with_tokens(g, mining.token_vocab(g, 150)), "token", months, 10)
+    return mining.time_entropy(mining.with_tokens(g, mining.token_vocab(g, 150)), "token", months, 25)
 
 
 @query(with_visits(f""", p AS (SELECT item, {field('labels', 'goal')} AS goals FROM (SELECT *, unnest(items) AS item FROM train)), n AS (SELECT item, count(*) AS n FROM p GROUP BY item),
@@ -214,7 +220,7 @@ def ablation_levels(spark, sf_dir):
     return bayes.macro_by_level(bayes.naive_bayes_auc(g, family_rows(g, list(FAMILIES))))
 
 
-N_PAIRS = 20_000
+N_PAIRS = 200_000
 
 
 @query(with_visits(f""", num AS (SELECT row_number() OVER (ORDER BY sha256(rid || ':42'), rid) - 1 AS ix, items, {PATTERN} AS patterns, {field('labels', 'disease')} AS diseases FROM gold), nn AS (SELECT count(*) AS n FROM gold),

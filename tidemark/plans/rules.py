@@ -249,8 +249,9 @@ def goal_rules(spark, sf_dir):
 SELECT goal, len(list_filter(list_transform(range(1, length(goal)), lambda i: substr(goal, i, 2)), lambda b: contains((SELECT 'economy,large,medium,promo,small,standard'), b))) > 0 AS hit FROM g""".replace("(SELECT 'economy,large,medium,promo,small,standard')", "'economy,large,medium,promo,small,standard'"))
 def bigram_coverage(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    types = ",".join(sorted(r.t for r in p.select(F.lower("p_type").alias("t")).distinct().collect()))
-    return p.select(F.col("p_name").alias("goal")).distinct().select("goal", knowledge.bigram_hit(F.col("goal"), F.lit(types)).alias("hit"))
+    types = p.agg(F.array_join(F.sort_array(F.collect_set(F.lower("p_type"))), ",").alias("types"))
+    goals = p.select(F.col("p_name").alias("goal")).distinct().crossJoin(F.broadcast(types))
+    return goals.select("goal", knowledge.bigram_hit(F.col("goal"), F.col("types")).alias("hit"))
 
 
 @query(with_visits(INPUT_SQL + """SELECT goal, count(*) AS n, count(*) FILTER (met) AS met, round(avg(met::INT), 6) AS share FROM gl GROUP BY goal UNION ALL SELECT 'visits', count(*), count(*) FILTER (share = 1), round(avg(share), 6) FROM cov"""))
@@ -267,14 +268,14 @@ def goal_coverage(spark, sf_dir):
 MINED_SQL = INPUT_SQL + """, base AS (SELECT capability, count(*) AS n_cap FROM (SELECT unnest(capabilities) AS capability FROM has) GROUP BY ALL), pg AS (SELECT goal, count(*) AS n_goal FROM gl GROUP BY goal HAVING count(*) >= 40),
 bb AS (SELECT goal, capability, count(*) AS visits FROM (SELECT goal, unnest(capabilities) AS capability FROM gl) GROUP BY ALL),
 ms AS (SELECT goal, capability, visits, visits / n_goal AS share, round((visits / n_goal) / (n_cap / (SELECT count(*) FROM has)), 9) AS lift FROM bb JOIN pg USING (goal) JOIN base USING (capability)),
-mined AS (SELECT goal, capability, visits, round(share, 6) AS share, round(lift, 6) AS lift FROM (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY lift DESC, capability) AS r FROM ms WHERE share >= 0.2 AND lift >= 1.0) WHERE r <= 3)
+mined AS (SELECT goal, capability, visits, round(share, 6) AS share, round(lift, 6) AS lift FROM (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY lift DESC, capability) AS r FROM ms WHERE share >= 0.2 AND lift >= 1.0) WHERE r <= 12)
 """
 
 
 def mined(spark, sf_dir):
     r = inputs(spark, sf_dir)
     has = knowledge.visit_capabilities(r.select("rid", V.names().alias("items")), item_dictionary(spark, sf_dir))
-    return knowledge.mined_capabilities(r.select("rid", F.explode("goals").alias("goal")), has, 40, 0.2, 1.0, 3)
+    return knowledge.mined_capabilities(r.select("rid", F.explode("goals").alias("goal")), has, 40, 0.2, 1.0, 12)
 
 
 @query(with_visits(MINED_SQL + "SELECT * FROM mined"))
