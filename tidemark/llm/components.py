@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 
+#: Edges in a file, about.
+EDGES = 100_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
 
@@ -32,5 +36,5 @@ def roots(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = written(small.distinct())
+        now = written(small.distinct().coalesce(max(1, -(-mark[0] // EDGES))))
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

@@ -74,6 +74,8 @@ VECTOR = (
 LEAST_ROWS, KEPT, FALL = 2 * (len(VECTOR) + 1), 0.999, 1e-3
 #: Distances are counted in steps of 1 / FINE of their logarithm.
 FINE = 64
+#: Files of a table with a row a group.
+FILES = 4
 
 
 def _chi(x: float) -> float:
@@ -142,7 +144,7 @@ def estimates(table: DataFrame) -> DataFrame:
     nearest steps that hold (rows + dimensions + 1) / 2 rows are the next subset. Groups that have converged are left out.
     """
     quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(_X)]
-    raw = written(table.groupBy("group").agg(*_moments(), *quartiles))
+    raw = written(table.groupBy("group").agg(*_moments(), *quartiles).coalesce(FILES))
     robust = raw.select("group", F.lit(0).alias("start"), "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in _D], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in _D for j in range(i + 1)])
     plain = raw.select("group", F.lit(1).alias("start"), "n", *[f"m{i}" for i in _D], *[f"c{i}{j}" for i in _D for j in range(i + 1)])
     keys = ["group", "start"]
@@ -159,7 +161,7 @@ def estimates(table: DataFrame) -> DataFrame:
         enough = upto.where(2 * F.col("n") >= F.col("rows") + len(_X) + 1).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in upto.columns if c not in keys]), "n").alias("u")).select(*keys, "u.*")
         moments = enough.select(*keys, "n", "rows", "before", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in _D], *[(F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")).alias(f"c{i}{j}") for i, j in pairs])
         share = F.greatest(F.round(1000 * F.col("n") / F.col("rows")).cast("int") - 500, F.lit(0))
-        steps.append(written(_factored(moments, [*keys, "before"], F.get(factors, share))))
+        steps.append(written(_factored(moments, [*keys, "before"], F.get(factors, share)).coalesce(FILES)))
         active = steps[-1].where(F.col("log_det") < F.col("before") - FALL).drop("before")
     if not steps:
         return active.select("group", *[c for c in active.columns if c[0] in "mw"])
