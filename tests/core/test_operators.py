@@ -106,6 +106,38 @@ def test_rules(spark):
     assert pattern.match("丁香 郁金") and not pattern.match("丁 郁金") and not pattern.match("丁香 ")
 
 
+def test_repair_in_rounds_and_the_schema(spark):
+    r = rules.Rules(vocabulary=["a", "b", "c", "d"], pairs=[("a", "b"), ("b", "c"), ("c", "d")], downgraded={("c", "d"): "warn"})
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "c", "d"]), (3, []), (4, ["b", "a"]), (5, ["a", "a"])], "rid long, items array<string>")
+    got = {x.rid: x for x in rows.select("rid", rules.validated(F.col("items"), r).alias("v"), rules.fits_schema(F.col("items"), rules.schema(r.vocabulary, 1, 2)).alias("fits")).collect()}
+    assert [(got[k].v["items"], got[k].v.attempts, got[k].v.failed) for k in (1, 2, 3, 4)] == [(["a"], 2, False), (["a", "c", "d"], 1, False), ([], 1, False), (["b"], 2, False)]
+    assert [got[k].fits for k in (1, 2, 3, 4, 5)] == [False, False, False, True, False]
+    assert rules.grammar_check(r.vocabulary) | {"length": 0} == {"items": 4, "single": 4, "several": True, "refuses": True, "length": 0}
+    assert rules.schema(["b", "a"])["properties"]["items"]["items"]["enum"] == ["a", "b"]
+
+
+def test_findings_as_text(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "rid long")
+    found = spark.createDataFrame([(1, "warn", "DOSE_EXCEEDED", "b"), (1, "block", "INCOMPATIBLE", "a+b")], "rid long, level string, code string, detail string")
+    got = {r.rid: r.text for r in rules.rendered(rows, found).collect()}
+    assert got == {1: "block (2)\n- [block] INCOMPATIBLE: a+b\n- [warn] DOSE_EXCEEDED: b", 2: "ok (0)"}
+
+
+def test_unclean_names_are_errors(spark):
+    from tidemark.functions.parsing import clean_name
+
+    df = spark.createDataFrame([("丹参",), ("x1",)], "n string")
+    assert df.where("n = '丹参'").select(clean_name(F.col("n")).alias("n")).first().n == "丹参"
+    with pytest.raises(Exception, match="unclean name: x1"):
+        df.select(clean_name(F.col("n"))).collect()
+
+
+def test_first_entry_with_content(spark):
+    df = spark.createDataFrame([("raw rice",), ("raw dust",)], "n string")
+    got = df.select(knowledge.first_with(F.col("n"), ["^raw "], {"rice": "RICE"}).alias("g")).collect()
+    assert [r.g is None for r in got] == [False, True]
+
+
 def test_name_resolution(spark):
     names = spark.createDataFrame([("炙甘草片",), ("甘草",), ("unknown",)], "name string")
     known = spark.createDataFrame([("甘草", "GC", 2), ("炙甘草", "ZGC", 3)], "alias string, target string, tier int")

@@ -46,6 +46,11 @@ def name_violation(c: Column) -> Column:
     return c.rlike("[0-9A-Za-z]")
 
 
+def clean_name(c: Column) -> Column:
+    """A normalised name as it is; the query fails on one that still has ASCII letters or digits."""
+    return F.when(name_violation(c), F.raise_error(F.concat(F.lit("unclean name: "), c))).otherwise(c)
+
+
 def parse_items(c: Column) -> Column:
     return distinct_filled(F.transform(F.split(c, ","), lambda x: normalize_item(x)))
 

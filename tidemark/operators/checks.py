@@ -39,6 +39,17 @@ def class_share(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n")).withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
+def stale_phrases(told: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase, lines (that hold it) and stale (that do so without the value that is right): a line with both is a comparison, not a claim.
+
+    told: text. phrases: phrase, correct (null if no value makes it right); a short list, which goes to where the lines are.
+    """
+    lines = told.select(F.explode(F.split("text", "\n")).alias("line"))
+    hit = lines.join(small(phrases), F.contains("line", "phrase")).select("phrase", (F.col("correct").isNull() | ~F.contains("line", "correct")).alias("bad"))
+    counts = hit.groupBy("phrase").agg(F.count("*").alias("lines"), F.count_if("bad").alias("stale"))
+    return phrases.select("phrase").join(counts, "phrase", "left").select("phrase", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("stale", F.lit(0)).alias("stale"))
+
+
 def numbers_stated(source: DataFrame, told: DataFrame) -> DataFrame:
     """For each literal of `source` (name, literal) whether any text of `told` (text) holds it.
 

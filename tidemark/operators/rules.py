@@ -189,7 +189,26 @@ def fill_doses(rows: DataFrame, dictionary: DataFrame, toxic: Sequence[str]) ->
     return each.groupBy("rid").agg(F.count("*").alias("n"), F.count("dose").alias("n_filled"), F.round(F.coalesce(F.sum("dose"), F.lit(0.0)), 4).alias("total"), F.bool_or(F.col("item").isin(*toxic)).alias("any_toxic"))
 
 
-def repair(items: Column, rules: Rules, rounds: int = 3) -> Column:
+def validated(items: Column, rules: Rules, rounds: int = 3) -> Column:
+    """A struct of items, attempts and failed: lists are checked for incompatible pairs that block, the later item of each is banned, and what is left is checked again, `rounds` times at most."""
+    pairs = [(a, b) for a, b in rules.pairs if rules.downgraded.get(tuple(sorted((a, b))), "block") == "block"]
+    known = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]) if pairs else F.expr("cast(array() as array<struct<a:string,b:string>>)")
+
+    def banned(h: Column) -> Column:
+        both = F.filter(known, lambda p: F.array_contains(h, p.a) & F.array_contains(h, p.b))
+        return F.transform(both, lambda p: F.when(F.array_position(h, p.a) > F.array_position(h, p.b), p.a).otherwise(p.b))
+
+    def again(s: Column, _: Column) -> Column:
+        out = banned(s["items"])
+        left = F.filter(s["items"], lambda x: ~F.array_contains(out, x))
+        more = F.size(out) > 0
+        return F.struct(left.alias("items"), (s.attempts + more.cast("int")).alias("attempts"))
+
+    start = F.struct(items.alias("items"), F.lit(1).alias("attempts"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again, lambda s: F.struct(s["items"].alias("items"), s.attempts.alias("attempts"), (F.size(banned(s["items"])) > 0).alias("failed")))
+
+
+def repair(items: Column, rules: Rules) -> Column:
     """Items without the illegal ones, and without the later one of each incompatible pair, pair after pair."""
     out = F.filter(items, lambda x: x.isin(*rules.vocabulary))
     for a, b in rules.pairs:
@@ -199,6 +218,39 @@ def repair(items: Column, rules: Rules, rounds: int = 3) -> Column:
     return out
 
 
+def schema(vocabulary: Sequence[str], least: int = 1, most: int = 40, name: str = "items") -> dict:
+    """The JSON schema of an object with a list of distinct items of the vocabulary."""
+    listed = {"type": "array", "items": {"type": "string", "enum": sorted(vocabulary)}, "minItems": least, "maxItems": most, "uniqueItems": True}
+    return {"type": "object", "properties": {name: listed}, "required": [name], "additionalProperties": False}
+
+
+def fits_schema(items: Column, wanted: dict) -> Column:
+    """Whether a list is what `schema` asks for."""
+    (listed,) = wanted["properties"].values()
+    size = F.size(items)
+    return (size >= listed["minItems"]) & (size <= listed["maxItems"]) & (F.size(F.array_distinct(items)) == size) & (F.size(F.array_except(items, literal(listed["items"]["enum"]))) == 0)
+
+
+def grammar_check(vocabulary: Sequence[str], separator: str = " ") -> dict:
+    """Whether the pattern takes each item and a list of some, and refuses a list with another name."""
+    import re
+
+    pattern = re.compile(grammar(vocabulary, separator))
+    stranger = "".join(vocabulary) + "?"
+    return {
+        "items": len(vocabulary), "single": sum(bool(pattern.match(v)) for v in vocabulary), "several": bool(pattern.match(separator.join(vocabulary[:5]))),
+        "refuses": not pattern.match(separator.join([*vocabulary[:2], stranger])), "length": len(pattern.pattern),
+    }
+
+
+def rendered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rid and text: the verdict and how many findings there are, then a line for each finding, the most severe first."""
+    lines = found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct((-rank(F.col("level"))).alias("m"), "code", "detail", "level"))).alias("f"))
+    each = F.transform("f", lambda x: F.concat(F.lit("- ["), x.level, F.lit("] "), x.code, F.lit(": "), x.detail))
+    head = F.concat(F.col("verdict"), F.lit(" ("), F.col("n_findings").cast("string"), F.lit(")"))
+    return verdicts(rows, found).join(lines, "rid", "left").select("rid", F.concat_ws("\n", head, each).alias("text"))
+
+
 def grammar(vocabulary: Sequence[str], separator: str = " ") -> str:
     """The pattern of item lists: names of the vocabulary, one separator between them."""
     import re

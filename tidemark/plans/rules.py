@@ -76,6 +76,7 @@ _check("rule_alerts", f"(SELECT rid, array_to_string(list_sort(list_intersect(it
 _check("rule_coverage", "f_cov", lambda r, d, m: V.coverage(r, RULES, d, m))
 _check("rule_contra", "f_contra", lambda r, d, m: V.contradiction(r, RULES, d, m))
 _check("rule_confidence", "f_conf", lambda r, d, m: V.confidence(r, RULES, d))
+_check("finding_texts", "(SELECT v.rid, verdict || ' (' || n_findings || ')' || coalesce(chr(10) || string_agg('- [' || level || '] ' || code || ': ' || detail, chr(10) ORDER BY -rank, code, detail), '') AS text FROM verdict v LEFT JOIN lev USING (rid) GROUP BY v.rid, verdict, n_findings)", lambda r, d, m: V.rendered(r, V.findings(r, RULES, d, m)))
 _check("verdicts", "verdict", lambda r, d, m: V.verdicts(r, V.findings(r, RULES, d, m)))
 
 
@@ -146,6 +147,35 @@ def vocab_grammar(spark, sf_dir):
     return gold(spark, sf_dir).select("rid", F.array_join("items", " ").rlike(V.grammar(RULES.vocabulary)).alias("is_legal"))
 
 
+@query(with_visits(f"SELECT rid, len(items) BETWEEN 1 AND 6 AND len(list_distinct(items)) = len(items) AND len(list_filter(items, lambda x: NOT list_contains({q(RULES.vocabulary)}, x))) = 0 AS fits FROM gold"))
+def schema_fit(spark, sf_dir):
+    """Whether a list is what the schema of generated lists asks for."""
+    return gold(spark, sf_dir).select("rid", V.fits_schema(F.col("items"), V.schema(RULES.vocabulary, 1, 6)).alias("fits"))
+
+
+def rounds_sql(rounds: int = 3) -> str:
+    pairs = "[" + ", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in RULES.pairs if RULES.downgraded.get(tuple(sorted((a, b)))) is None) + "]"
+    bans = f"list_transform(list_filter({pairs}, lambda p: list_contains(h, p.a) AND list_contains(h, p.b)), lambda p: CASE WHEN list_position(h, p.a) > list_position(h, p.b) THEN p.a ELSE p.b END)"
+    out = f", g0 AS (SELECT rid, items AS h, 1 AS attempts FROM gold), b0 AS (SELECT *, {bans} AS bans FROM g0)"
+    for k in range(rounds):
+        out += f", g{k + 1} AS (SELECT rid, list_filter(h, lambda x: NOT list_contains(bans, x)) AS h, attempts + (len(bans) > 0)::INT AS attempts FROM b{k}), b{k + 1} AS (SELECT *, {bans} AS bans FROM g{k + 1})"
+    return out + f" SELECT rid, array_to_string(h, ' ') AS items, CAST(attempts AS INT) AS attempts, len(bans) > 0 AS failed FROM b{rounds}"
+
+
+@query(with_visits(rounds_sql()))
+def repair_rounds(spark, sf_dir):
+    """Lists that are checked, cut and checked again until no pair blocks."""
+    out = gold(spark, sf_dir).select("rid", V.validated(F.col("items"), RULES).alias("v"))
+    return out.select("rid", F.array_join("v.items", " ").alias("items"), "v.attempts", "v.failed")
+
+
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT * FROM (VALUES ('The ', 'and'), ('er ', NULL), ('no such phrase', 'x')) AS t(phrase, correct))
+SELECT p.phrase, count(line) AS lines, count(line) FILTER (correct IS NULL OR NOT contains(line, correct)) AS stale FROM p LEFT JOIN l ON contains(line, p.phrase) GROUP BY p.phrase""")
+def stale_phrases(spark, sf_dir):
+    phrases = spark.createDataFrame([("The ", "and"), ("er ", None), ("no such phrase", "x")], "phrase string, correct string")
+    return checks.stale_phrases(table(spark, sf_dir, "documents"), phrases)
+
+
 # Names to resolve: part names with a process in front and a form behind.
 PATTERNS = ["^(raw|aged) ", "^(east|west) ", " (slice|root)$"]
 NAME = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'raw east ' || p_name || ' slice' WHEN 2 THEN 'aged ' || p_name WHEN 3 THEN 'odd ' || p_name || ' root' END"
