@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A table may be broadcast when it has at most this many rows (each a few dozen bytes wide).
 BROADCAST_ROWS = 100_000
+#: A list of row numbers alone may be broadcast up to this length (8 bytes each, some 50 MB with its hash table).
+LIST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
 
@@ -69,7 +71,7 @@ def bucketed(df: DataFrame, key: str, like: DataFrame) -> DataFrame:
     """df written once to the shared folder as a table bucketed by `key`: groups by that key read it without another shuffle.
 
     A bucket has about spark.sql.files.maxPartitionBytes by Catalyst's estimate of the size of `like`, which takes no pass
-    over the rows; the number of buckets sets no result.
+    over the rows; the number of buckets sets no result. The files go at the end of a `temporary` block, as those of `written`.
     """
     spark = df.sparkSession
     size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -78,6 +80,8 @@ def bucketed(df: DataFrame, key: str, like: DataFrame) -> DataFrame:
     if size < 1 << 60:  # beyond that it isn't known
         n = min(most, max(n, -(-size // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))))
     name, path = f"tidemark_{uuid.uuid4().hex}", f"{scratch(spark)}/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018 (resolves it before its name goes)
