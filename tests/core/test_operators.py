@@ -169,3 +169,25 @@ def test_files(spark, tmp_path):
     assert [r.redacted for r in once.collect()] == [2, 0]
     assert {r.redacted for r in files.redact_rows(once.drop("redacted"), r"\S+@\S+", "[x]", messages="messages").collect()} == {0}
     assert files.markdown(sheet, "t").startswith("# t\n\n| n | Suppress |")
+
+
+def test_split_counts_pass_on_few_rows(spark):
+    """Counts of the first rows of each split are those of a sort, for any share and for bands that miss at first; without a sort of all rows."""
+    import hashlib
+    import random
+    from collections import Counter
+
+    from tidemark.operators import resample
+
+    rng = random.Random(4)
+    rows = [(i, rng.sample("abcdef", rng.randrange(4))) for i in range(600)] + [(9, ["a"]), (9, ["a"])]
+    base = spark.createDataFrame(rows, "rid long, items array<string>")
+    for n, width in ((0, 6), (1, 6), (150, 6), (300, 0.001), (len(rows), 6)):
+        want = Counter()
+        for b in range(8):
+            order = sorted(rows, key=lambda r: hashlib.sha256(f"{r[0]}:{b}:perm".encode()).hexdigest())  # noqa: B023
+            want.update((b, x) for _, items in order[:n] for x in items)
+        got = resample.split_counts(base, 8, n, len(rows), width).collect()
+        assert {(r.b, r.item): r.n for r in got} == dict(want), n
+    low, high = resample.band(500_000, 2_000_000, 6)
+    assert int(high, 16) - int(low, 16) < 0.01 * 16**12
