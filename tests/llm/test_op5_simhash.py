@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import roots
@@ -72,6 +73,13 @@ def test_links_are_all_found(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
 
 
+def test_lookups_are_not_broadcast(spark, tmp_path):
+    """Each fingerprint makes 66 lookups, which Catalyst doesn't foresee; they never go through the driver."""
+    spark.range(2000).select((F.col("id") * 7_919_000_003).alias("fp")).write.parquet(f"{tmp_path}/f")
+    plan = links(spark.read.parquet(f"{tmp_path}/f"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 560)] + [(700, 700), (559, 900)]
     got = {r.node: r.root for r in roots(spark.createDataFrame(pairs, "a long, b long")).collect()}

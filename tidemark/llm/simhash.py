@@ -49,7 +49,8 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
 
     Multi-index hashing with two segments of 32 bits: of a pair, one segment differs in distance // 2 bits at most. Each
     fingerprint is filed under both segments, and looks up every value in the Hamming ball of that radius around its own
-    two; of the matches, whole fingerprints are compared.
+    two; of the matches, whole fingerprints are compared. Catalyst takes exploded rows to be as few as those before, so without
+    a hint it would broadcast all lookups, 66 for a fingerprint, through the driver.
     """
     radius = distance // 2
     balls = [0]
@@ -60,7 +61,7 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
     filed = classes.select("fp", F.explode(halves).alias("h")).select("fp", "h.part", "h.value")
     ball = F.array(*[F.lit(b).cast("long") for b in balls])
     asked = filed.select(F.col("fp").alias("a"), "part", "value", F.explode(ball).alias("flip")).select("a", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    near = asked.join(filed, ["part", "value"]).where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance))
+    near = asked.hint("merge").join(filed.hint("merge"), ["part", "value"]).where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance))
     return near.select("a", F.col("fp").alias("b")).distinct()
 
 
