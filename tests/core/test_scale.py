@@ -2,8 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
-from tidemark.operators import retrieval
+from tests.oracle import FOLDER
+from tidemark.operators import bayes, retrieval
+from tidemark.operators.splits import folds
+from tidemark.plans.all import QUERIES
 
 
 def most_rows(spark, run):
@@ -42,3 +46,37 @@ def test_candidates_of_a_common_label_are_not_rows(spark):
             want[q, rank] = (x[0], round(len({*items} & {*x[1]}) / len({*items} | {*x[1]}), 9))
     assert {(r.q, r["rank"]): (r.rid, r.j) for r in found} == want
     assert most < 8000  # 4,001 visits; pairs that share a pattern are over 60,000
+
+
+def test_scores_of_levels_are_not_rows(spark):
+    visits = spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+    found, most = most_rows(spark, lambda: QUERIES["ablation_levels"](spark, FOLDER).collect())
+    assert len(found) == 6 and most < 20 * visits  # rows of lines and features; scores are six levels of 25 items
+
+
+def test_ranges_of_scores_give_the_whole_auc(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(k, rng.sample("xyz", rng.randrange(0, 3)), rng.sample("abc", rng.randrange(0, 3)), rng.sample("defgh", rng.randrange(0, 5))) for k in range(300)]
+    data = [(k, sorted({*i, *("x" if "a" in f and k % 3 else "")}), f, g) for k, i, f, g in data]
+    rows = spark.createDataFrame(data, "rid long, items array<string>, f array<string>, g array<string>")
+    monkeypatch.setattr(bayes, "RANGE", 40)
+    found = {(r.level, r.item): (r.n, r.positives, r.auc) for r in bayes.naive_bayes_auc(rows, ["f", "g"], 5, 50).collect()}
+    fold = {r.rid: r.fold for r in folds(rows.select("rid"), "rid", 5).collect()}
+    want = {}
+    for level, item in ((level, item) for level in (0, 1) for item in "xyz"):
+        features = {k: {*f} | ({*g} if level else set()) for k, _, f, g in data}
+        scores = []
+        for k, items, *_ in data:
+            other = [x for x in data if fold[x[0]] != fold[k]]
+            ones = [x[0] for x in other if item in x[1]]
+            zeros = [x[0] for x in other if item not in x[1]]
+            c1, c0 = (Counter(v for x in side for v in features[x]) for side in (ones, zeros))
+            score = math.log(len(ones) / len(zeros))
+            for v in "abcdefgh" if level else "abc":
+                p1, p0 = (c1[v] + 1) / (len(ones) + 2), (c0[v] + 1) / (len(zeros) + 2)
+                score += math.log(p1 / p0) if v in features[k] else math.log((1 - p1) / (1 - p0))
+            scores.append((round(score, 9), item in items))
+        up, down = ([s for s, y in scores if y is side] for side in (True, False))
+        won = sum((a > b) + (a == b) / 2 for a in up for b in down)
+        want[level, item] = (300, len(up), round(won / len(up) / len(down), 6))
+    assert found == want
